@@ -25,6 +25,16 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "raw_content").select("id", "content").unionByName(table(spark, sf_dir, "findings").select("id", "content"))
 
 
+def rerank(candidates: DataFrame, fp: DataFrame, t: float) -> DataFrame:
+    """Candidate class pairs (a, b) -> those within the Hamming bound, from the whole vectors. Vectors that no candidate
+    needs are dropped before they are shuffled twice."""
+    candidates = materialize(candidates, "candidates")
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    vectors = materialize(fp.join(ends, "cls", "left_semi").groupBy("cls").agg(F.first("vec").alias("vec")), "vectors")
+    both = candidates.join(vectors.select(F.col("cls").alias("a"), F.col("vec").alias("va")), "a").join(vectors.select(F.col("cls").alias("b"), F.col("vec").alias("vb")), "b")
+    return ws.verified(both, "va", "vb", ["a", "b"], t)
+
+
 def class_pairs(fp: DataFrame, t: float = ws.SIMILARITY, hot: int = ws.HOT) -> DataFrame:
     """(a, b, similarity) of different word multisets (classes, a < b) at least ``t`` similar, from their fingerprints."""
     rows = ws.blocks(fp, ws.frequency_table(fp), t, hot)
@@ -35,11 +45,7 @@ def class_pairs(fp: DataFrame, t: float = ws.SIMILARITY, hot: int = ws.HOT) -> D
         .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
         .distinct()
     )
-    candidates = materialize(candidates, "p5-candidates")
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    vectors = materialize(fp.join(ends, "cls", "left_semi").groupBy("cls").agg(F.first("vec").alias("vec")), "p5-vectors")
-    both = candidates.join(vectors.select(F.col("cls").alias("a"), F.col("vec").alias("va")), "a").join(vectors.select(F.col("cls").alias("b"), F.col("vec").alias("vb")), "b")
-    return ws.verified(both, "va", "vb", ["a", "b"], t)
+    return rerank(candidates, fp, t)
 
 
 def fingerprint_table(df: DataFrame, id_col: str = "id", text_col: str = "content", min_words: int = ws.MIN_WORDS) -> DataFrame:
