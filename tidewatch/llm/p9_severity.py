@@ -28,8 +28,6 @@ DIMENSIONS = 1 << 18
 MAX_RATED = 20_000
 #: Documents at or above this expected severity are offending.
 OFFENDING = 1.0
-#: A feature must stand in so many rated documents.
-LEAST_DOCUMENTS = 3
 #: Look-alikes (fixed values): Cyrillic letters, digits and signs to the Latin letters they stand for.
 LOOK_ALIKE = ("асеорхуктмвніїё@$3014!5€", "aceopxyktmbhiieaseoiaise")
 END = "\u0001"
@@ -100,16 +98,6 @@ class OrdinalModel:
         positive = grade > 0
         if not len(first) or positive.all() or not positive.any():
             return OrdinalModel()
-        # Features of a single document, names and numbers above all, say nothing of others.
-        row = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(idx)]))
-        spread = np.unique(text[row] * DIMENSIONS + idx)
-        common = np.bincount(spread % DIMENSIONS, minlength=DIMENSIONS) >= LEAST_DOCUMENTS
-        keep = common[idx]
-        idx, row = idx[keep], row[keep]
-        if not len(idx):
-            return OrdinalModel()
-        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        text = text[row[first]]
         counts = np.diff(np.r_[first, len(idx)])
         row = np.repeat(np.arange(len(first)), counts)
         doc_grade = grade[text]
