@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.session import materialize, shared_path
 
-EDGE = F.struct("w", "fu", "fv")
 
 
 def spanning_forest(edges: DataFrame, forest_path: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +54,7 @@ def spanning_forest(edges: DataFrame, forest_path: str | None = None) -> tuple[D
             .where("pu <> pv")
             .select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"), "w", "fu", "fv")
         )
-        live = materialize(renamed.groupBy("u", "v").agg(F.min(EDGE).alias("e")).select("u", "v", "e.w", "e.fu", "e.fv"), "boruvka-edges")
+        live = materialize(renamed.groupBy("u", "v").agg(F.min(F.struct("w", "fu", "fv")).alias("e")).select("u", "v", "e.w", "e.fu", "e.fv"), "boruvka-edges")
         rounds += 1
     if rounds == 0:
         return labels, spark.createDataFrame([], forest_schema)
