@@ -150,7 +150,7 @@ def rated_documents(documents: DataFrame, labels: DataFrame, max_rated: int = MA
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rated)
     )
-    return documents.select("doc_id", "text").where("text is not null").join(grade, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "grade", token_hashes(F.col("text")).alias("h"))
+    return documents.select("doc_id", "text").where("text is not null").join(F.broadcast(grade), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "grade", token_hashes(F.col("text")).alias("h"))
 
 
 def fitted(documents: DataFrame, labels: DataFrame, max_rated: int = MAX_RATED) -> OrdinalModel:
