@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "tidewatch", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "tidewatch", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with the settings every operator here expects: UTC, AQE, last-wins map merge."""
     b = (
         SparkSession.builder.appName(app)
@@ -22,18 +22,27 @@ def build_session(app: str = "tidewatch", master: str | None = None, shuffle_par
         b = b.master(master)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in conf.items():
+        b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
 
 
+#: Own folders of sessions without the setting, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
     Only where the setting is absent (tests, a single machine) a temporary folder is made and remembered.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
+            spark.sparkContext.setCheckpointDir(_OWN[app])
+        path = _OWN[app]
     return path.rstrip("/")
 
 
