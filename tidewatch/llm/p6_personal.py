@@ -98,7 +98,7 @@ ADDRESS = [
     (re.compile(rf"(?<!\w){LETTER}{{2,}}(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer)\s\d{{1,4}}\s?[a-z]?(?!\w)", re.IGNORECASE), 0.8),
     (re.compile(rf"(?<!\w)(?:am|an der|auf dem|im|zum)\s{LETTER}{{3,}}\s\d{{1,4}}\s?[a-z]?(?=,)", re.IGNORECASE), 0.7),
     (re.compile(r"(?:خیابان|کوچه|بلوار|میدان|بزرگراه)\s+\w+(?:\s\w+)?،?\s+(?:پلاک|شماره)\s*[\d۰-۹]+"), 0.8),
-    (re.compile(r"[一-鿿]{1,6}(?:路|街|道|巷|弄|胡同)\s?\d+\s?号(?:\d+室)?"), 0.8),
+    (re.compile(r"(?:(?![是在到址寄])[一-鿿]){1,8}(?:路|街|道|巷|弄|胡同)\s?\d+\s?号(?:\d+室)?"), 0.8),
 ]
 
 #: One of these stands in a text that has the address form of the same place in the list.
