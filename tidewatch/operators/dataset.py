@@ -138,17 +138,18 @@ def macro_f1(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.avg("f1").alias("macro_f1"))
 
 
+def _piece(text: Column, size: int):
+    return lambda at: F.substring(text, at, F.lit(size))
+
+
 def char_grams(text: Column, low: int = 2, high: int = 4) -> Column:
     """Distinct-position character n-grams of the lower-cased text; none for texts shorter than ``low``."""
     x = F.lower(F.coalesce(text, F.lit("")))
-    grams = [F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i, n=n: F.substring(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
+    none = F.array().cast("array<string>")
+    grams = [F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), _piece(x, n))).otherwise(none) for n in range(low, high + 1)]
     return F.concat(*grams)
 
 
-def sublinear(column: str) -> Column:
-    return F.transform(column, lambda x: x)
-
-
 def pipeline(model: str = "svc", char_features: int = 300_000, word_features: int = 200_000, min_df: float = 2.0) -> Pipeline:
     """TF-IDF over characters and words, with a linear classifier. Input: text, chars (``char_grams``), label."""
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}]+")

@@ -405,7 +405,10 @@ def resolved_names(spark, d):
     return gr.resolved_names(groups, nodes).select("cluster_id", joined("names"))
 
 
-@query("names_for_record")
+RECORD = "(SELECT min(raw_content_id) FROM ioc_sightings)"
+
+
+@query("names_for_record", f"""SELECT DISTINCT coalesce(e.properties['name'], x.id) AS name FROM (SELECT source_id AS id FROM edges WHERE properties['raw_content_id'] = {RECORD} UNION SELECT 'ioc:' || ioc_type || ':' || ioc_value FROM ioc_sightings WHERE raw_content_id = {RECORD}) x LEFT JOIN entities e ON e.id = x.id ORDER BY 1 LIMIT 50""")
 def names_for_record(spark, d):
     rid = table(spark, d, "ioc_sightings").agg(F.min("raw_content_id")).first()[0]
     return gr.names_for_record(table(spark, d, "edges"), table(spark, d, "entities"), table(spark, d, "ioc_sightings"), rid or "")
@@ -417,7 +420,9 @@ def actor_dossier(spark, d):
     return gr.dossier(actor or "", table(spark, d, "entities"), table(spark, d, "edges"), table(spark, d, "raw_content"), correlations(spark, d), notes(spark, d))
 
 
-@query("active_actors")
+@query("active_actors", """WITH a AS (SELECT id, created_at FROM entities WHERE type = 'threat_actor' AND NOT dismissed ORDER BY created_at DESC, id LIMIT 40),
+r AS (SELECT g.source_id AS id, count(DISTINCT c.id) AS recent FROM edges g JOIN raw_content c ON c.id = g.properties['raw_content_id'] WHERE c.collected_at >= TIMESTAMPTZ '2025-06-01 00:00:00+00' GROUP BY 1)
+SELECT a.id, r.recent FROM a JOIN r ON r.id = a.id ORDER BY a.created_at DESC, a.id LIMIT 10""")
 def active_actors(spark, d):
     return gr.active_actors(table(spark, d, "entities"), table(spark, d, "edges"), table(spark, d, "raw_content"), datetime(2025, 6, 1, tzinfo=timezone.utc))
 
@@ -486,7 +491,7 @@ def exploit_semi(spark, d):
     return table(spark, d, "ioc_sightings").where("ioc_type = 'cve'").join(r, "raw_content_id", "left_semi").select(F.upper("ioc_value").alias("cve_id")).distinct()
 
 
-@query("upsert_vulnerabilities")
+@query("upsert_vulnerabilities", f"WITH {VULNS} SELECT cve_id, epss_score, CASE WHEN cve_id LIKE '%1' THEN 5.0::DOUBLE ELSE cvss_v31_score END AS cvss_v31_score, kev_listed FROM vulnerabilities")
 def upsert_vulnerabilities(spark, d):
     v = vulnerabilities(spark, d)
     new = v.select("cve_id", F.lit(None).cast("double").alias("epss_score"), F.lit(5.0).alias("cvss_v31_score"), F.lit(False).alias("kev_listed")).where("cve_id like '%1'")
@@ -509,7 +514,18 @@ def matcher(spark, d):
     return table(spark, d, "raw_content").select("id", m.alias("m")).select("id", joined("m.rules", "rules"), "m.severity", "m.match_type")
 
 
-@query("junk_gate")
+_O = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+RESCUE = rf"""x AS (SELECT id, regexp_replace(coalesce(content, ''), '^[\s\x{{0b}}\x{{85}}\p{{Z}}]+|[\s\x{{0b}}\x{{85}}\p{{Z}}]+$', '', 'g') AS c FROM raw_content),
+m AS (SELECT id, c, regexp_replace(regexp_replace(c, '(?i)\b(?:https?|hxxps?|ftp)://\S{{4,}}', ' ', 'g'), '(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{{2,}}\b', ' ', 'g') AS k FROM x),
+r AS (SELECT id, c, regexp_matches(c, '(?i)\bCVE-[0-9]{{4}}-[0-9]{{4,}}\b') OR regexp_matches(c, '\b(?:[a-fA-F0-9]{{64}}|[a-fA-F0-9]{{40}}|[a-fA-F0-9]{{32}})\b') OR regexp_matches(c, '\b(?:{_O}\.){{3}}{_O}(?::[0-9]{{1,5}})?\b')
+  OR regexp_matches(c, '\b(?:bc1[a-z0-9]{{25,87}}|[13][a-km-zA-HJ-NP-Z1-9]{{25,34}}|0x[a-fA-F0-9]{{40}})\b')
+  OR len(list_filter(regexp_extract_all(c, '(?i)\b(?:https?|hxxps?|ftp)://\S{{4,}}'), lambda v: NOT regexp_matches(lower(v), 'example\.(com|org|net)'))) > 0
+  OR len(list_filter(regexp_extract_all(c, '(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{{2,}}\b'), lambda v: NOT regexp_matches(lower(v), 'example\.(com|org|net)'))) > 0
+  OR len(list_filter(regexp_extract_all(k, '[A-Za-z0-9._@-]{{3,}}:[^\s:]{{4,}}'), lambda v: lower(v) NOT IN ('user:pass', 'user:password', 'username:password'))) > 0
+  OR len(list_filter(regexp_extract_all(k, '(?i)\b(?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+[a-z]{{2,24}}\b'), lambda v: NOT regexp_matches(lower(v), 'example\.(com|org|net)') AND NOT regexp_matches(lower(v), '\.(jpg|jpeg|png|gif|webp|bmp|svg|ico|mp4|avi|mov|webm|mp3)$'))) > 0 AS rescued FROM m)"""
+
+
+@query("junk_gate", f"WITH {RESCUE} SELECT id, (length(regexp_replace(c, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) < 10 OR regexp_matches(c, '^@?[A-Za-z0-9_]{{3,32}}$')) AND NOT rescued AS junk, rescued FROM r")
 def junk_gate(spark, d):
     return table(spark, d, "raw_content").select("id", tx.is_junk(F.col("content")).alias("junk"), tx.ioc_rescue(F.col("content")).alias("rescued"))
 
@@ -658,3 +674,6 @@ def ingest_metrics(spark, d):
 def pricing_summary(spark, d):
     x = table(spark, d, "lineitem").where("l_shipdate <= timestamp_ntz '1998-09-02 00:00:00'")
     return x.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
+
+
+from tidewatch.plans import registry_more  # noqa: E402, F401
