@@ -149,3 +149,14 @@ def apply_decisions(candidates: DataFrame, decisions: DataFrame, least_signals:
     outcome = F.when(able & (F.col("_d") == "promote") & (F.col("_c") >= promote_at), "promote").when(able & (F.col("_d") == "reject"), "reject").when(able & F.col("_d").isNotNull(), "defer")
     status = F.when(outcome == "promote", "promoted").when(outcome == "reject", "rejected").otherwise(F.col("status"))
     return x.withColumn("outcome", outcome).withColumn("status", status).drop("_d", "_c")
+
+
+def candidate_context(candidates: DataFrame, raw: DataFrame, notes: DataFrame, per_candidate: int = 20) -> DataFrame:
+    """What an analyst sees of each candidate: its first records (summary or start) and how many notes its records' authors have."""
+    from tidewatch.operators.reads import top_per
+
+    own = candidates.select("cluster_id", F.explode("finding_ids").alias("id")).join(raw.select("id", "author", "collected_at", F.coalesce("summary", F.left("content", F.lit(120))).alias("text")), "id")
+    shown = top_per(own, ["cluster_id"], [F.col("collected_at"), F.col("id")], per_candidate)
+    lists = shown.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("collected_at", "id", "text"))).alias("findings"))
+    counts = own.select("cluster_id", F.col("author").alias("entity_id")).distinct().join(notes.where("status = 'active'").select("id", "entity_id"), "entity_id").groupBy("cluster_id").agg(F.countDistinct("id").alias("notes"))
+    return candidates.select("cluster_id").join(lists, "cluster_id", "left").join(counts, "cluster_id", "left").withColumn("notes", F.coalesce("notes", F.lit(0)))

@@ -109,11 +109,21 @@ def verdict_summary(sheets: DataFrame) -> DataFrame:
     return g.withColumn("error_rate", F.try_divide(F.col("error").cast("double"), (F.col("correct") + F.col("error")).cast("double")))
 
 
-def recall_threshold(scores: DataFrame, target: float = 0.97) -> DataFrame:
-    """(score, positive) -> the highest threshold whose recall is at least ``target``; minus infinity always qualifies."""
-    by = scores.groupBy("score").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("score"))
-    x = by.select("score", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("flagged"), F.sum("p").over(Window.partitionBy()).alias("all_p"))
+def recall_threshold(scores: DataFrame, target: float = 0.97, buckets: int = 64) -> DataFrame:
+    """(score, positive) -> the highest threshold whose recall is at least ``target``; minus infinity always qualifies.
+
+    Running sums go over score ranges (cut at approximate quantiles) and within each, so no task sorts all scores."""
+    by = scores.where("score is not null").groupBy("score").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
+    cuts = sorted(set(by.approxQuantile("score", [i / buckets for i in range(1, buckets)], 0.005)))
+    bucket = F.lit(0)
+    for c in cuts:
+        bucket = bucket + (F.col("score") > c).cast("int")
+    by = by.withColumn("_b", bucket)
+    w = Window.orderBy(F.desc("_b"))
+    per = by.groupBy("_b").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
+    per = per.select("_b", (F.sum("bp").over(w) - F.col("bp")).alias("p0"), (F.sum("bn").over(w) - F.col("bn")).alias("n0"), F.sum("bp").over(Window.partitionBy()).alias("all_p"))
+    w = Window.partitionBy("_b").orderBy(F.desc("score"))
+    x = by.join(per, "_b").select("score", (F.col("p0") + F.sum("p").over(w)).alias("tp"), (F.col("n0") + F.sum("n").over(w)).alias("flagged"), "all_p")
     x = x.where(F.col("tp") >= F.lit(target) * F.col("all_p"))
     return x.agg(F.max("score").alias("threshold"), F.max_by("tp", "score").alias("tp"), F.max_by("flagged", "score").alias("flagged"), F.max("all_p").alias("positives")).select(
         F.coalesce("threshold", F.lit(float("-inf"))).alias("threshold"), F.try_divide(F.col("tp").cast("double"), F.col("positives").cast("double")).alias("recall"), F.try_divide(F.col("tp").cast("double"), F.col("flagged").cast("double")).alias("precision")
@@ -181,3 +191,21 @@ def train_gate(df: DataFrame, target: float = 0.97, **size) -> tuple[object, flo
     threshold = recall_threshold(scored.where("split = 'val'").select("score", (F.col("label") == POSITIVE).alias("positive")), target).first()["threshold"]
     z = F.when(F.col("score") >= threshold, POSITIVE).otherwise("irrelevant")
     return model, threshold, class_metrics(scored.where("split = 'test'").select(F.col("label").alias("y"), z.alias("z")))
+
+
+def write_outputs(rows: DataFrame, folder: str) -> None:
+    """The training table (stage 1), its relevant part (stage 2) and the statistics, each as a folder that replaces the old one."""
+    rows.write.mode("overwrite").parquet(f"{folder}/stage1")
+    rows.where(F.col("label") == POSITIVE).write.mode("overwrite").parquet(f"{folder}/stage2")
+    split_stats(rows).coalesce(1).write.mode("overwrite").json(f"{folder}/stats")
+
+
+def write_worksheet(sheet: DataFrame, path: str) -> None:
+    sheet.coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+
+
+def report_markdown(metrics: list[dict], title: str) -> str:
+    """Macro F1 first, then a line a class; never accuracy."""
+    macro = sum(m["f1"] for m in metrics) / len(metrics) if metrics else 0.0
+    lines = [f"# {title}", "", f"Macro F1: {macro:.4f}", "", "| class | precision | recall | F1 | support |", "| --- | --- | --- | --- | --- |"]
+    return "\n".join([*lines, *(f"| {m['class']} | {m['precision']:.4f} | {m['recall']:.4f} | {m['f1']:.4f} | {m['support']} |" for m in sorted(metrics, key=lambda m: m["class"]))])

@@ -223,3 +223,14 @@ def posting_cadence(raw: DataFrame) -> DataFrame:
 def statuses_by_category(modules: DataFrame) -> DataFrame:
     """(category, id, name, enabled) module states -> one row a category, modules sorted by name."""
     return modules.groupBy("category").agg(F.sort_array(F.collect_list(F.struct("name", "id", "enabled"))).alias("modules"))
+
+
+def briefs(table: DataFrame, kind: str = "", limit: int | None = None) -> DataFrame:
+    """Briefs by type, the newest first."""
+    rows = table.where(F.col("brief_type") == kind) if kind else table
+    return page(rows, [F.desc("period_end"), F.col("id")], limit, 0, 20, 100)
+
+
+def append(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Notes, decisions and briefs are only ever added."""
+    return old.unionByName(new, allowMissingColumns=True)

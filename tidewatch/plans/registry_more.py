@@ -297,3 +297,35 @@ def source_values_page(spark, d):
 @query("as_of_decay_active", f"WITH {IOCS} SELECT type, count(*) AS n FROM iocs WHERE base_score * exp(-0.3::DOUBLE * ((epoch_us({AS_OF_SQL}) - epoch_us(last_seen)) / 86400e6::DOUBLE) / CASE type WHEN 'ip' THEN 30.0::DOUBLE WHEN 'domain' THEN 90 WHEN 'url' THEN 14 WHEN 'hash_md5' THEN 365 WHEN 'hash_sha256' THEN 365 WHEN 'email' THEN 180 WHEN 'cve' THEN 180 WHEN 'crypto_wallet' THEN 365 ELSE 90 END) >= 0.1 GROUP BY 1")
 def as_of_decay_active(spark, d):
     return rd.counts_by(up.decay(iocs(spark, d), as_of()).where("active"), F.col("type")).withColumnRenamed("count", "n")
+
+
+@query("candidate_context", f"""WITH {CORRELATIONS}, {NOTES}, x AS (SELECT cluster_id, unnest(finding_ids) AS id FROM correlations),
+n AS (SELECT x.cluster_id, count(DISTINCT n.id) AS notes FROM x JOIN raw_content r ON r.id = x.id JOIN notes n ON n.entity_id = r.author AND n.status = 'active' GROUP BY 1),
+t AS (SELECT cluster_id, least(count(*), 20) AS findings FROM x JOIN raw_content r ON r.id = x.id GROUP BY 1)
+SELECT c.cluster_id, coalesce(t.findings, 0) AS findings, coalesce(n.notes, 0) AS notes FROM correlations c LEFT JOIN t USING (cluster_id) LEFT JOIN n USING (cluster_id)""")
+def candidate_context(spark, d):
+    from tidewatch.operators.correlate import candidate_context as context
+
+    x = context(correlations(spark, d), table(spark, d, "raw_content"), notes(spark, d))
+    return x.select("cluster_id", F.coalesce(F.size("findings"), F.lit(0)).cast("bigint").alias("findings"), "notes")
+
+
+@query("resolved_iocs", f"""WITH {IOCS}, h AS (SELECT type, value, lower(CASE WHEN type = 'url' THEN regexp_replace(regexp_replace(regexp_extract(regexp_replace(value, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^[^/?#]*'), '^[^@]*@', ''), ':\\d*$', '') ELSE regexp_replace(value, ':\\d+$', '') END) AS host FROM iocs)
+SELECT type, value FROM h WHERE type NOT IN ('domain', 'url') OR host LIKE '%.onion' OR regexp_matches(host, '^\\d+(\\.\\d+){{3}}$|:') OR host LIKE '%.example'""")
+def resolved_iocs(spark, d):
+    t = iocs(spark, d).select("type", "value")
+    hosts = t.select(tx.ioc_host(F.col("type"), F.col("value")).alias("host")).where("host like '%.example'")
+    return tx.filter_resolved(t, hosts)
+
+
+@query("briefs_list", "SELECT 'brief:' || c AS id, n FROM (SELECT category AS c, max(collected_at) AS e, count(*) AS n FROM raw_content WHERE category IS NOT NULL GROUP BY 1) ORDER BY e DESC, c LIMIT 20")
+def briefs_list(spark, d):
+    b = table(spark, d, "raw_content").where("category is not null").groupBy("category").agg(F.max("collected_at").alias("period_end"), F.count(F.lit(1)).alias("n"))
+    return rd.briefs(b.select(F.concat(F.lit("brief:"), "category").alias("id"), F.lit("daily").alias("brief_type"), "period_end", "n"), "daily").select("id", "n")
+
+
+@query("style", r"""SELECT id, len(w) AS words, len(list_distinct(w)) AS different, length(regexp_replace(x, '[^.!?]', '', 'g')) AS marks, round(CASE WHEN len(w) > 0 THEN length(array_to_string(w, ''))::DOUBLE / len(w) ELSE 0 END, 6) AS word_length
+FROM (SELECT id, coalesce(content, '') AS x, regexp_extract_all(lower(coalesce(content, '')), '[\p{L}\p{N}]+') AS w FROM raw_content)""".replace("\\p", "\p"))
+def style(spark, d):
+    x = table(spark, d, "raw_content").select("id", tx.style(F.col("content")).alias("s"))
+    return x.select("id", F.col("s.words").cast("bigint").alias("words"), F.col("s.different").cast("bigint").alias("different"), F.col("s.marks").cast("bigint").alias("marks"), rounded(F.col("s.word_length"), "word_length"))
