@@ -203,7 +203,8 @@ def blocks(fp: DataFrame, freq: np.ndarray, t: float = SIMILARITY, hot: int = HO
 
 
 def needed(n_a: Column, n_b: Column, t: float) -> Column:
-    return F.ceil((n_a + n_b) * F.lit(t / (1 + t)) - F.lit(1e-9))
+    """The overlap of close texts is at least this (not rounded up: conditions in the inner loop stay plain arithmetic)."""
+    return (n_a + n_b) * F.lit(t / (1 + t)) - F.lit(1e-9)
 
 
 def pair_filter(np_a: Column, np_b: Column, t: float) -> Column:
@@ -211,7 +212,7 @@ def pair_filter(np_a: Column, np_b: Column, t: float) -> Column:
     n_a, n_b = F.shiftright(np_a, 32), F.shiftright(np_b, 32)
     p_a, p_b = np_a.bitwiseAND(F.lit(0xFFFFFFFF)), np_b.bitwiseAND(F.lit(0xFFFFFFFF))
     o = needed(n_a, n_b, t)
-    return (F.least(n_a, n_b) >= o) & (p_a <= n_a - o + 1) & (p_b <= n_b - o + 1)
+    return (o <= n_a - p_a + 1) & (o <= n_b - p_b + 1) & (o <= n_a) & (o <= n_b)
 
 
 def sketch_filter(a, b, n_a: Column, n_b: Column, t: float) -> Column:
