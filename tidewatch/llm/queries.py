@@ -11,6 +11,7 @@ from tidewatch.llm.p6_personal import p6_found, p6_redacted
 from tidewatch.llm.p7_encode import p7_ids
 from tidewatch.llm.p8_packing import p8_pack, p8_report
 from tidewatch.llm.p9_severity import p9_found, p9_rates, p9_scores
+from tidewatch.llm.sql import ORACLE
 
 QUERIES = {
     "p1_found": p1_found,
@@ -33,4 +34,4 @@ QUERIES = {
     "p9_rates": p9_rates,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
