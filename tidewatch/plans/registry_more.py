@@ -325,7 +325,7 @@ def briefs_list(spark, d):
 
 
 @query("style", r"""SELECT id, len(w) AS words, len(list_distinct(w)) AS different, length(regexp_replace(x, '[^.!?]', '', 'g')) AS marks, round(CASE WHEN len(w) > 0 THEN length(array_to_string(w, ''))::DOUBLE / len(w) ELSE 0 END, 6) AS word_length
-FROM (SELECT id, coalesce(content, '') AS x, regexp_extract_all(lower(coalesce(content, '')), '[\p{L}\p{N}]+') AS w FROM raw_content)""".replace("\\p", "\p"))
+FROM (SELECT id, coalesce(content, '') AS x, regexp_extract_all(lower(coalesce(content, '')), '[\p{L}\p{N}]+') AS w FROM raw_content)""")
 def style(spark, d):
     x = table(spark, d, "raw_content").select("id", tx.style(F.col("content")).alias("s"))
     return x.select("id", F.col("s.words").cast("bigint").alias("words"), F.col("s.different").cast("bigint").alias("different"), F.col("s.marks").cast("bigint").alias("marks"), rounded(F.col("s.word_length"), "word_length"))
