@@ -30,7 +30,7 @@ def rerank(candidates: DataFrame, fp: DataFrame, t: float) -> DataFrame:
     needs are dropped before they are shuffled twice."""
     candidates = materialize(candidates, "candidates")
     ends = candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    vectors = materialize(fp.join(ends, "cls", "left_semi").groupBy("cls").agg(F.first("vec").alias("vec")), "vectors")
+    vectors = materialize(ws.sifted(fp.select("cls", "vec"), ends).join(ends, "cls", "left_semi").groupBy("cls").agg(F.first("vec").alias("vec")), "vectors")
     both = candidates.join(vectors.select(F.col("cls").alias("a"), F.col("vec").alias("va")), "a").join(vectors.select(F.col("cls").alias("b"), F.col("vec").alias("vb")), "b")
     return ws.verified(both, "va", "vb", ["a", "b"], t)
 

@@ -28,6 +28,8 @@ WORD = r"[\p{L}\p{N}]+"
 BUCKETS = 1 << 20
 HOT = 4096
 MIN_WORDS = 15
+#: Size of the bit table that keeps vectors nobody asks for out of a shuffle (2 MB).
+SIEVE_BITS = 1 << 24
 SIMILARITY = 0.7
 
 
@@ -221,6 +223,27 @@ def sketch_filter(a, b, n_a: Column, n_b: Column, t: float) -> Column:
     return d <= n_a + n_b - F.lit(2) * needed(n_a, n_b, t)
 
 
+def sifted(fp: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``fp`` (cls, vec) without most rows whose cls is not in ``wanted`` (cls), before anything is shuffled: a bit table of fixed
+    size (``SIEVE_BITS``) holds the wanted hashes. Some others pass; none that is wanted is lost."""
+    mask = SIEVE_BITS // 64 - 1
+    word = F.shiftright("cls", 6).bitwiseAND(F.lit(mask)).cast("int")
+    bit = F.expr("shiftleft(1L, cast(cls & 63 as int))")
+    got = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(mask + 1, np.uint64)
+    table[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    shared = fp.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        bits = shared.value
+        for b in batches:
+            c = b.column(0).to_numpy().view(np.uint64)
+            hit = (bits[((c >> np.uint64(6)) & np.uint64(mask)).astype(np.int64)] >> (c & np.uint64(63))) & np.uint64(1)
+            yield b.filter(pa.array(hit == 1))
+
+    return fp.mapInArrow(run, fp.schema)
+
+
 def overlaps(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row by row: common elements, and the sizes, of two packed vectors."""
     ea, oa = binary_values(a)
