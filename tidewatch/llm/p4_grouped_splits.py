@@ -45,7 +45,7 @@ def record_keys(ids: DataFrame, raw: DataFrame, edges: DataFrame, generic: DataF
     own = raw.select("id", "source_name", "author").join(ids.select("id").distinct(), "id", "left_semi").distinct()
     nobody = generic.select(name_form(F.col("handle")).alias("author")).where("author is not null").distinct()
     source = own.select("id", name_form(F.col("source_name")).alias("source")).where("source is not null").select("id", key_of("source", F.col("source")).alias("key"), "source")
-    author = own.select("id", name_form(F.col("author")).alias("author")).where("author is not null").join(F.broadcast(nobody), "author", "left_anti").select("id", key_of("author", F.col("author")).alias("key"), F.lit(None).cast("string").alias("source"))
+    author = own.select("id", name_form(F.col("author")).alias("author")).where("author is not null").join(nobody, "author", "left_anti").select("id", key_of("author", F.col("author")).alias("key"), F.lit(None).cast("string").alias("source"))
     entity = (
         edges.select(F.col("properties").getItem("raw_content_id").alias("id"), F.col("source_id").alias("entity"))
         .where("id is not null and entity is not null")
