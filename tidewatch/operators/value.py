@@ -94,7 +94,7 @@ def daily_brief(raw: DataFrame, sightings: DataFrame, entities: DataFrame, edges
     top = top_findings(raw, start, as_of).agg(F.sort_array(F.collect_list(F.struct("rank", "id", "summary"))).alias("top_findings"))
     hot = trending(entities, edges, start, start - timedelta(days=1), as_of).orderBy(F.desc("current"), "id").limit(10).agg(F.sort_array(F.collect_list(F.struct("id", "current", "previous"))).alias("trending"))
     some = raw.where(F.col("collected_at").between(F.lit(start), F.lit(as_of))).agg(F.count(F.lit(1)).alias("findings")).where("findings > 0")
-    return some.crossJoin(F.broadcast(metrics)).crossJoin(F.broadcast(top)).crossJoin(F.broadcast(hot)).withColumn("period_end", F.lit(as_of))
+    return some.select("findings", metrics.scalar().alias("metrics"), top.scalar().alias("top_findings"), hot.scalar().alias("trending"), F.lit(as_of).alias("period_end"))
 
 
 def sum_map(c: Column) -> Column:

@@ -41,16 +41,11 @@ def archive_stats(spark, d):
 def overview_kpis(spark, d):
     recent = table(spark, d, "raw_content").where(F.col("collected_at").between(F.lit(BEFORE), F.lit(END)))
     e = table(spark, d, "entities").where("not dismissed")
-    parts = [
-        recent.agg(F.count(F.lit(1)).alias("findings"), F.count_if(F.col("severity") == "critical").alias("critical")),
-        e.agg(F.count_if(F.col("type") == "threat_actor").alias("actors"), F.count_if(F.col("type") == "campaign").alias("campaigns")),
-        correlations(spark, d).agg(F.count_if("is_correlation").alias("correlations")),
-        table(spark, d, "sources").agg(F.count_if(F.col("status").isin("active", "approved")).alias("sources")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:  # one row each
-        out = out.crossJoin(F.broadcast(p))
-    return out
+    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    return spark.range(1).select(
+        count(recent).alias("findings"), count(recent.where("severity = 'critical'")).alias("critical"), count(e.where("type = 'threat_actor'")).alias("actors"), count(e.where("type = 'campaign'")).alias("campaigns"),
+        count(correlations(spark, d).where("is_correlation")).alias("correlations"), count(table(spark, d, "sources").where(F.col("status").isin("active", "approved"))).alias("sources"),
+    )
 
 
 @query("campaigns_confident", f"WITH {CORRELATIONS} SELECT cluster_id, round(confidence, 6) AS confidence FROM correlations WHERE confidence > 0.5 ORDER BY correlations.confidence DESC, cluster_id LIMIT 20")
