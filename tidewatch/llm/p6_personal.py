@@ -126,11 +126,11 @@ NAME_WORDS = re.compile(
     re.IGNORECASE,
 )
 #: A phrase that a person's name follows, and two or three words after it, of which one has a family name's ending.
-CONTEXT_NAME = re.compile(
-    rf"(?:\bname|\bnamed|shipped to|belongs to|file shows|\bask for|\bcall|\bэто|\bимя|\bимени|\bфамилией|файле есть|файлі є|ім'я|прізвищем|спросить|запитати|бухгалтеру,? це|\bце|nombre de|nombre|figura|pregunten por|pertenece a|parti pour|demandez|fichier montre|appartient à|nach|ging an|Abzug steht|gehört) "
-    rf"({WORD},? {WORD}(?: {WORD})?)",
-    re.IGNORECASE,
-)
+CONTEXTS = (
+    "name ", "named ", "shipped to ", "belongs to ", "file shows ", "ask for ", "call ", "это ", "имя ", "имени ", "фамилией ", "файле есть ", "файлі є ", "ім'я ", "прізвищем ", "спросить ",
+    "запитати ", "це ", "nombre de ", "nombre ", "figura ", "pregunten por ", "pertenece a ", "parti pour ", "demandez ", "fichier montre ", "appartient à ", "nach ", "ging an ", "abzug steht ", "gehört ",
+)
+NAME_HERE = re.compile(rf"({WORD},? {WORD}(?: {WORD})?)")
 PERSIAN_NAME = re.compile(r"(?:به نام|فایل نام|سراغ|متعلق به)\s+(\w{2,} \w{3,})\s+(?:به|با|را|از|است)")
 LIST_FIELD = re.compile(rf"(?:^|(?<=[;|\t])|(?<= , ))[ ]*({WORD},? {WORD}(?: {WORD})?)[ ]*(?=$|[;|\t]| , )", re.MULTILINE)
 AFTER_ID = re.compile(rf", ({WORD},? {WORD}(?: {WORD})?)")
@@ -240,6 +240,18 @@ def family_like(words: str) -> bool:
     return not any(w.lower() in NO_FAMILY for w in parts) and any(len(w) > 4 and SURNAME_END.search(w) for w in parts)
 
 
+def named_here(text: str, low: str):
+    """Two or three words after each context phrase. ``low``: the text in lower case, letter by letter."""
+    for phrase in CONTEXTS:
+        at = low.find(phrase)
+        while at >= 0:
+            if not at or not low[at - 1].isalnum():
+                m = NAME_HERE.match(text, at + len(phrase))
+                if m:
+                    yield m
+            at = low.find(phrase, at + 1)
+
+
 def _number_spans(text: str, found: list[list]) -> None:
     for cluster in CLUSTER.finditer(text):
         lo, hi = max(0, cluster.start() - 14), cluster.end() + 6
@@ -287,7 +299,7 @@ def _name_spans(text: str, low: str, found: list[list]) -> None:
             value = m.group(1).strip()
             if (2 <= len(TOKEN.findall(value)) <= 4 and not re.search(r"[\d@/_]", value)) or re.fullmatch(r"[一-鿿]{2,4}", value):
                 found.append([m.start(1), m.start(1) + len(m.group(1).rstrip()), "name", 0.7])
-    for m in CONTEXT_NAME.finditer(text):
+    for m in named_here(text, low):
         words = TOKEN.findall(m.group(1))
         for many in (3, 2):  # three words, or the first two
             if len(words) >= many:
@@ -341,6 +353,8 @@ def spans(text: str, whole: bool = False) -> list[tuple[int, int, str]]:
     """Accepted (start, end, kind), in text order, without overlaps. ``whole``: the text is one value, such as an author."""
     found: list[list] = []  # start, end, kind, score
     low = text.lower()
+    if len(low) != len(text):  # letters whose lower case is longer stay as they are
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
     if "@" in text or "＠" in text or "[at" in low or "(at" in low or " at " in low:
         for m in EMAIL.finditer(text):
             if not re.search(r"https?://\S*$", text[max(0, m.start() - 60) : m.start()]):
