@@ -154,10 +154,14 @@ def _piece(text: Column, size: int):
 
 def char_grams(text: Column, low: int = 2, high: int = 4) -> Column:
     """Distinct-position character n-grams of the lower-cased text; none for texts shorter than ``low``."""
-    x = F.lower(F.coalesce(text, F.lit("")))
+    # The lower-cased text is bound by a one-element transform, so that it is made once and not for every gram.
+    lowered = F.array(F.lower(F.coalesce(text, F.lit(""))))
+    return F.element_at(F.transform(lowered, lambda x: _grams(x, low, high)), 1)
+
+
+def _grams(x: Column, low: int, high: int) -> Column:
     none = F.array().cast("array<string>")
-    grams = [F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), _piece(x, n))).otherwise(none) for n in range(low, high + 1)]
-    return F.concat(*grams)
+    return F.concat(*[F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), _piece(x, n))).otherwise(none) for n in range(low, high + 1)])
 
 
 def pipeline(model: str = "svc", char_features: int = 300_000, word_features: int = 200_000, min_df: float = 2.0) -> Pipeline:

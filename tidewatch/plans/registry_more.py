@@ -237,6 +237,13 @@ def char_grams(spark, d):
     return table(spark, d, "stage1").select("id", F.size(g).cast("bigint").alias("grams"), F.size(F.array_distinct(g)).cast("bigint").alias("different"))
 
 
+@query("char_grams_whole")
+def char_grams_whole(spark, d):
+    """Whole texts and the sizes that train_gate uses; the SQL of char_grams covers prefixes and two sizes only."""
+    g = ds.char_grams(F.col("text"))
+    return table(spark, d, "stage1").select("id", F.size(g).cast("bigint").alias("grams"), F.size(F.array_distinct(g)).cast("bigint").alias("different"))
+
+
 @query("poisoned", "SELECT raw_content_id AS id, count(*) AS failures FROM ioc_sightings GROUP BY 1 HAVING count(*) >= 5")
 def poisoned(spark, d):
     return st.poisoned(table(spark, d, "ioc_sightings").select(F.col("raw_content_id").alias("id")))
