@@ -146,6 +146,12 @@ def noise_flags(spark, d):
     return up.flag_noise(x, tx.junk_reason(F.col("content"))).select("id", "is_noise")
 
 
+@query("noise_flags_whole")
+def noise_flags_whole(spark, d):
+    """All rows; the SQL of noise_flags covers contents that are null or made of spaces."""
+    return up.flag_noise(table(spark, d, "raw_content"), tx.junk_reason(F.col("content"))).select("id", "is_noise")
+
+
 # --- Classification helpers ---
 _SUBS = " OR ".join(f"(category = '{k}' AND sub_category IN ({', '.join(repr(x) for x in v)}))" for k, v in SUB_CATEGORIES.items())
 _TAGS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CATEGORY_TAG.items())
