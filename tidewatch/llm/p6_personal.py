@@ -94,7 +94,7 @@ ADDRESS = [
     (re.compile(rf"(?<!\w)(?:flat \d+\w?, )?\d{{1,4}}[a-z]? (?:{WORD} ){{1,3}}(?:street|st|road|rd|lane|ln|avenue|ave|drive|dr|close|court|square|boulevard|blvd|way|terrace)\b\.?(?:,? apt\.? \d+)?", re.IGNORECASE), 0.7),
     (re.compile(rf"(?<!\w)(?:ул\.|улица|пер\.|переулок|просп\.|пр-т|проспект|шоссе|бульвар|б-р|наб\.|набережная|вул\.|вулиця|провулок|пров\.|просп\.|площа|площадь)\s+{WORD}(?:\s{WORD})?,?\s+(?:(?:д\.|дом|буд\.|будинок)\s*)?\d+(?:[-/]\d+|\s?{LETTER})?(?!\w)", re.IGNORECASE), 0.8),
     (re.compile(rf"(?<!\w)\d{{1,4}}(?: bis| ter)?,? (?:rue|avenue|av\.|impasse|bd|boulevard|allée|place|chemin|quai|route|cours)\s+(?:(?:de|du|des|la|le|les)\s+|d'|l')*{WORD}", re.IGNORECASE), 0.8),
-    (re.compile(rf"(?<!\w)(?:calle|c/|avda\.?|avenida|plaza|pza\.?|paseo|camino|carrer)\s*(?:(?:de|del|la|las|los)\s+)*{WORD}(?:\s{WORD})?,?\s+(?:n\.?[ºo°]\s*)?\d{{1,4}}(?!\w)", re.IGNORECASE), 0.8),
+    (re.compile(rf"(?<!\w)(?:calle|c/|avda\.?|avenida|plaza|pza\.?|paseo|camino|carrer)\s*(?:(?:de|del|la|las|los)\s+)*{WORD}(?:\s{WORD})?,?\s+(?:(?:n\.?[ºo°]\.?|n\.|n[úu]m(?:ero)?\.?|#)\s*)?\d{{1,4}}(?!\w)", re.IGNORECASE), 0.8),
     (re.compile(rf"(?<!\w){LETTER}{{2,}}(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer)\s\d{{1,4}}\s?[a-z]?(?!\w)", re.IGNORECASE), 0.8),
     (re.compile(rf"(?<!\w)(?:am|an der|auf dem|im|zum)\s{LETTER}{{3,}}\s\d{{1,4}}\s?[a-z]?(?=,)", re.IGNORECASE), 0.7),
     (re.compile(r"(?:خیابان|کوچه|بلوار|میدان|بزرگراه)\s+\w+(?:\s\w+)?،?\s+(?:پلاک|شماره)\s*[\d۰-۹]+"), 0.8),
