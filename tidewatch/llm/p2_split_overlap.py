@@ -6,7 +6,10 @@ rare shingles being drawn in proportion to their inverse document frequency, suc
 phrases don't meet; ``ROWS`` minima form a bucket key. Only a train row and a row of another split make a candidate, sizes
 and parity bits prune it within the join, and the exact Jaccard similarity decides.
 
-A pair at the least similarity of 0.7 shares a bucket with probability 1 - (1 - 0.7^4)^40 > 0.9999.
+A pair shares a bucket with probability 1 - (1 - s^4)^40, where s is its similarity weighted by how often each element is
+drawn: above 0.9999 for s = 0.7, but s may be far lower where the pair differs in rare words (weights differ up to 16-fold).
+So the buckets alone guarantee nothing; the pigeonhole blocks of ``wordset.blocks``, joined across splits only, add every
+close pair that the buckets miss, and the result is exact.
 
 Rows with null, empty or short text (under ``min_words`` words) have no partner; rows with another or no split take part
 as neither side. Copies are compared once and expanded in the output of ``overlap_pairs``.
@@ -66,6 +69,14 @@ def buckets(fp: DataFrame, freq: np.ndarray, total: int, bands: int = BANDS, row
     return fp.select("vec", "n", "cls", "s1", "s2").mapInArrow(run, schema)
 
 
+def block_candidates(fp: DataFrame, freq: np.ndarray, t: float) -> DataFrame:
+    """(a, b): classes of a train row and of another split's row that share a block; no close pair is missing."""
+    x = ws.blocks(fp.where(F.col("split") == TRAIN), freq, t).alias("x")
+    y = ws.blocks(fp.where(F.col("split") != TRAIN), freq, t).alias("y")
+    n_a, n_b = F.shiftright("x.np", 32), F.shiftright("y.np", 32)
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") != F.col("y.cls")) & ws.pair_filter(F.col("x.np"), F.col("y.np"), t) & ws.sketch_filter("x", "y", n_a, n_b, t)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+
+
 def overlap_pairs(df: DataFrame, id_col: str = "id", text_col: str = "text", split_col: str = "split", t: float = ws.SIMILARITY, min_words: int = ws.MIN_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(train_id, eval_id, eval_split): every close pair of a train row and a row of another split."""
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(split_col).alias("split")).where(F.col("split").isin(TRAIN, *EVAL))
@@ -75,11 +86,8 @@ def overlap_pairs(df: DataFrame, id_col: str = "id", text_col: str = "text", spl
     x = buckets(fp.where(F.col("split") == TRAIN), freq, total, bands, rows).alias("x")
     y = buckets(fp.where(F.col("split") != TRAIN), freq, total, bands, rows).alias("y")
     n_a, n_b = F.col("x.n"), F.col("y.n")
-    candidates = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") != F.col("y.cls")) & (F.least(n_a, n_b) >= ws.needed(n_a, n_b, t)) & ws.sketch_filter("x", "y", n_a, n_b, t))
-        .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-        .distinct()
-    )
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") != F.col("y.cls")) & (F.least(n_a, n_b) >= ws.needed(n_a, n_b, t)) & ws.sketch_filter("x", "y", n_a, n_b, t))
+    candidates = met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).unionByName(block_candidates(fp, freq, t)).distinct()
     close = rerank(candidates, fp, t).select("a", "b")
     members = fp.select("cls", "id", "split").distinct()
     train = members.where(F.col("split") == TRAIN)
