@@ -17,7 +17,8 @@ only append: a batch is read once, history is never vectorised again.
 Layout under the index's path: ``quantiser`` (the order's counters), ``vectors/segment=K`` and ``cells/segment=K``.
 
 Null, empty and short contents (under ``min_words`` words) are never repeats and never make others repeats. Ties in
-(batch_no, collected_at) are ordered by id; a null collected_at comes first. Repeated rows of one id are one record.
+(batch_no, collected_at) are ordered by id; a null collected_at comes first. All history stands before all batches; among
+batches a null batch_no comes last, as in the SQL. Repeated rows of one id are one record.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ from tidewatch.llm.p5_near_duplicates import rerank
 from tidewatch.session import shared_path
 from tidewatch.tables import table
 
-ORDER = ["batch_no", "collected_at", "id"]
+ORDER = ["stage", "batch_no", "collected_at", "id"]
 CARRY = ("cls", "s1", "s2")
-#: The batch number of what was accepted before the first batch.
-HISTORY = -1
+#: ``stage``: what was accepted before the first batch, batches with a number, batches without one.
+HISTORY, NUMBERED, UNNUMBERED = 0, 1, 2
 
 
 class CellIndex:
@@ -54,7 +55,7 @@ class CellIndex:
 
     def build(self, history: DataFrame) -> "CellIndex":
         """Index ``history`` (id, content, collected_at) as segment 0 and fix the order of coordinates by it."""
-        vectors = self._vectors(history.withColumn("batch_no", F.lit(HISTORY)), 0)
+        vectors = self._vectors(history.withColumns({"stage": F.lit(HISTORY), "batch_no": F.lit(None).cast("int")}), 0)
         self._freq = ws.frequency_table(vectors)
         at = np.flatnonzero(self._freq)
         import pyarrow as pa
@@ -77,7 +78,7 @@ class CellIndex:
 
     def append(self, batches: DataFrame, segment: int) -> tuple[DataFrame, DataFrame]:
         """Append one or more batches (id, content, collected_at, batch_no) as a segment: its vectors and cells."""
-        vectors = self._vectors(batches, segment)
+        vectors = self._vectors(batches.withColumn("stage", F.when(F.col("batch_no").isNull(), UNNUMBERED).otherwise(NUMBERED)), segment)
         return vectors, self._cells(vectors, segment)
 
     def vectors(self) -> DataFrame:
