@@ -1,7 +1,7 @@
 """Personal information inside free text (problem 6).
 
-Method: regular expressions propose spans, each with a first score; checksum validators (Luhn, mod-97, mod-11 ...) and the
-words around a span raise or lower it; spans at ``ACCEPT`` or more are replaced by typed placeholders such as ``<EMAIL>``.
+Method: regular expressions propose spans, each with a first score; checksum validators (mod-97, mod-11 ...) raise it and
+the words around a span raise or lower it; spans at ``ACCEPT`` or more are replaced by typed placeholders such as ``<EMAIL>``.
 Numbers without a shape of their own need a validator or a word that names them, or stand in a list line with other personal
 data. Words such as ``ticket``, ``session`` or ``build`` before a number speak against it.
 
