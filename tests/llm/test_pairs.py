@@ -8,6 +8,7 @@ import pytest
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewatch.llm import p2_split_overlap as p2
 from tidewatch.llm import p3_history as p3
@@ -98,8 +99,8 @@ def test_very_long_texts(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 30), min_size=15, max_size=60), st.lists(st.integers(0, 30), min_size=15, max_size=60), st.integers(0, 3))
-def test_close_multisets_share_a_block(a, b, hot):
+@given(st.lists(st.integers(0, 30), min_size=15, max_size=60), st.lists(st.integers(0, 30), min_size=15, max_size=60), st.integers(0, 3), st.integers(0, 1), st.booleans())
+def test_close_multisets_share_a_block(a, b, hot, cheap, useful):
     import numpy as np
 
     x, y = Counter(a), Counter(b)
@@ -108,9 +109,55 @@ def test_close_multisets_share_a_block(a, b, hot):
     freq = np.zeros(ws.BUCKETS, np.int32)
     for e in (ea, eb):
         np.add.at(freq, e & np.uint32(ws.BUCKETS - 1), 1)
-    keys = [set(ws.block_rows(e, np.array([0, len(e)]), freq, 0.7, hot)[2].tolist()) for e in (ea, eb)]
+    splits, both, off = [], np.concatenate([ea, eb]), np.array([0, len(ea), len(ea) + len(eb)])
+    for level in range(1, ws.LEVELS + 1):
+        key, parent, short, long, further = ws.count_blocks(both, off, freq, 0.7, splits, level, hot)
+        large = long > hot
+        if splits and useful:
+            splits[-1] = ws.keep_useful(splits[-1], parent[large], (short * long)[large])
+        splits.append(ws.decide(key[large], short[large], long[large], further[large] * cheap, hot, level < ws.LEVELS))
+    cls = np.array([5, -7])
+    rec, key, _ = ws.block_rows(both, off, cls, freq, 0.7, splits)
+    stored = set(ws.block_rows(ea, off[:2], cls[:1], freq, 0.7, splits, "stored")[1].tolist())
+    probe = set(ws.block_rows(eb, np.array([0, len(eb)]), cls[1:], freq, 0.7, splits, "probe")[1].tolist())
     if o / (n + m - o) >= 0.7:
-        assert keys[0] & keys[1]
+        assert set(key[rec == 0].tolist()) & set(key[rec == 1].tolist())
+        assert stored & probe
+
+
+def test_blocks_stay_bounded_whatever_the_counters_say(spark):
+    """One word in all texts, a family of alike texts, and counters that are all full."""
+    import numpy as np
+
+    rnd = random.Random(9)
+    family = [f"f{i}" for i in range(40)]
+    texts = [" ".join(["common", *(rnd.choice(["a", "b", "c"]) + str(rnd.randrange(60)) for _ in range(39))]) for _ in range(400)]
+    texts += [" ".join(["common", *(w for w in family if rnd.random() > 0.1)]) for _ in range(120)]
+    rows = [(f"id{i:04d}", x) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id string, content string")
+    fp = p5.fingerprint_table(df)
+    want = brute(rows)
+    for freq in (ws.frequency_table(fp), np.full(ws.BUCKETS, 2**31 - 1, np.int32)):
+        splits = ws.find_splits(fp, freq, hot=32)
+        made = ws.blocks(fp, freq, splits)
+        side = made.groupBy("key").agg(F.count_if(ws.has_side(F.col("np"), ws.SHORT)).alias("short"), F.count_if(ws.has_side(F.col("np"), ws.LONG)).alias("long"))
+        top = side.agg(F.max("short"), F.max("long")).first()
+        assert max(top) <= 64  # parts of a hashed grid: about `hot` a side
+        assert made.count() < 120 * len(rows)
+        close_classes = p5.rerank(ws.met(made, 0.7), fp, 0.7)
+        ids = fp.select("cls", "id").toPandas().groupby("cls")["id"].apply(list).to_dict()
+        got = {tuple(sorted((i, j))) for r in close_classes.collect() for i in ids[r.a] for j in ids[r.b]}
+        got |= {tuple(sorted((i, j))) for own in ids.values() for i in own for j in own if i < j}
+        assert got == want
+
+
+def test_many_copies_are_joined_in_parts(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(f"id{i:03d}", text + (" more" if i % 3 == 0 else "")) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, content string")
+    fp = p5.fingerprint_table(df)
+    got = [tuple(r) for r in p5.expand(p5.class_pairs(fp), fp, most=7).collect()]
+    assert len(got) == len(set(got)) == 60 * 59 // 2 and set(got) == brute(rows)
 
 
 def test_split_overlap(spark):

@@ -69,36 +69,42 @@ def buckets(fp: DataFrame, freq: np.ndarray, total: int, bands: int = BANDS, row
     return fp.select("vec", "n", "cls", "s1", "s2").mapInArrow(run, schema)
 
 
-def block_candidates(fp: DataFrame, freq: np.ndarray, t: float) -> DataFrame:
+def block_candidates(fp: DataFrame, freq: np.ndarray, t: float, hot: int = ws.HOT, min_words: int = ws.MIN_WORDS) -> DataFrame:
     """(a, b): classes of a train row and of another split's row that share a block; no close pair is missing."""
-    x = ws.blocks(fp.where(F.col("split") == TRAIN), freq, t).alias("x")
-    y = ws.blocks(fp.where(F.col("split") != TRAIN), freq, t).alias("y")
-    n_a, n_b = F.shiftright("x.np", 32), F.shiftright("y.np", 32)
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") != F.col("y.cls")) & ws.pair_filter(F.col("x.np"), F.col("y.np"), t) & ws.sketch_filter("x", "y", n_a, n_b, t)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    splits = ws.find_splits(fp, freq, t, hot, min_words)
+    train = ws.blocks(fp.where(F.col("split") == TRAIN), freq, splits, t, "stored", min_words=min_words)
+    held = ws.blocks(fp.where(F.col("split") != TRAIN), freq, splits, t, "probe", min_words=min_words)
+    return ws.met_across(held, train, t).select(F.col("b").alias("a"), F.col("a").alias("b"))
 
 
-def overlap_pairs(df: DataFrame, id_col: str = "id", text_col: str = "text", split_col: str = "split", t: float = ws.SIMILARITY, min_words: int = ws.MIN_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def spread(x: DataFrame, y: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of two sides to be joined by ``key``, with a further key ``part``: the rows of ``x`` under a key that has more than
+    ``hot`` of them are dealt into parts by cls, and the rows of ``y`` under it are repeated for each part."""
+    large = materialize(x.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(max(1, hot))).cast("int").alias("parts")).where("parts > 1"), "large-keys")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = x.join(large, "key", "left").withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int")).drop("parts")
+    return dealt, y.join(large, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+
+
+def overlap_pairs(df: DataFrame, id_col: str = "id", text_col: str = "text", split_col: str = "split", t: float = ws.SIMILARITY, min_words: int = ws.MIN_WORDS, bands: int = BANDS, rows: int = ROWS, hot: int = ws.HOT) -> DataFrame:
     """(train_id, eval_id, eval_split): every close pair of a train row and a row of another split."""
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(split_col).alias("split")).where(F.col("split").isin(TRAIN, *EVAL))
     fp = materialize(ws.fingerprints(src, "text", ["id", "split"], min_words), "p2-fingerprints")
     freq = ws.frequency_table(fp)
     total = fp.count()
-    x = buckets(fp.where(F.col("split") == TRAIN), freq, total, bands, rows).alias("x")
-    y = buckets(fp.where(F.col("split") != TRAIN), freq, total, bands, rows).alias("y")
+    x, y = spread(buckets(fp.where(F.col("split") == TRAIN), freq, total, bands, rows), buckets(fp.where(F.col("split") != TRAIN), freq, total, bands, rows), hot)
+    x, y = x.alias("x"), y.alias("y")
     n_a, n_b = F.col("x.n"), F.col("y.n")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") != F.col("y.cls")) & (F.least(n_a, n_b) >= ws.needed(n_a, n_b, t)) & ws.sketch_filter("x", "y", n_a, n_b, t))
-    candidates = met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).unionByName(block_candidates(fp, freq, t)).distinct()
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.cls") != F.col("y.cls")) & (F.least(n_a, n_b) >= ws.needed(n_a, n_b, t)) & ws.sketch_filter("x", "y", n_a, n_b, t))
+    candidates = met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).unionByName(block_candidates(fp, freq, t, hot, min_words)).distinct()
     close = rerank(candidates, fp, t).select("a", "b")
     members = fp.select("cls", "id", "split").distinct()
-    train = members.where(F.col("split") == TRAIN)
-    held = members.where(F.col("split") != TRAIN)
-    same = train.select(F.col("cls"), F.col("id").alias("train_id")).join(held.select("cls", F.col("id").alias("eval_id"), F.col("split").alias("eval_split")), "cls").drop("cls")
-    near = (
-        close.join(train.select(F.col("cls").alias("a"), F.col("id").alias("train_id")), "a")
-        .join(held.select(F.col("cls").alias("b"), F.col("id").alias("eval_id"), F.col("split").alias("eval_split")), "b")
-        .select("train_id", "eval_id", "eval_split")
-    )
-    return same.unionByName(near).distinct()
+    # Equal texts are a pair of classes as well. Copies of one text are dealt into parts, so no task has all of a class's pairs.
+    train = members.where(F.col("split") == TRAIN).select(F.col("cls").alias("key"), F.col("id").alias("cls"))
+    held = members.where(F.col("split") != TRAIN).select(F.col("cls").alias("b"), F.col("id").alias("eval_id"), F.col("split").alias("eval_split"))
+    wanted = close.unionByName(held.select(F.col("b").alias("a"), "b").distinct()).join(held, "b").select(F.col("a").alias("key"), "eval_id", "eval_split")
+    train, wanted = spread(train, wanted, hot)
+    return train.join(wanted, ["key", "part"]).select(F.col("cls").alias("train_id"), "eval_id", "eval_split").distinct()
 
 
 def overlap_report(pairs: DataFrame, sources: DataFrame) -> DataFrame:

@@ -19,6 +19,10 @@ from tidewatch.llm.forest import components
 from tidewatch.session import materialize
 from tidewatch.tables import table
 
+#: Copies of one text that one task joins, and classes of more copies that are few enough to broadcast.
+MOST_COPIES = 2048
+MOST_LARGE = 100_000
+
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, content) of raw_content and findings."""
@@ -35,33 +39,52 @@ def rerank(candidates: DataFrame, fp: DataFrame, t: float) -> DataFrame:
     return ws.verified(both, "va", "vb", ["a", "b"], t)
 
 
-def class_pairs(fp: DataFrame, t: float = ws.SIMILARITY, hot: int = ws.HOT) -> DataFrame:
+def class_pairs(fp: DataFrame, t: float = ws.SIMILARITY, hot: int = ws.HOT, min_words: int = ws.MIN_WORDS) -> DataFrame:
     """(a, b, similarity) of different word multisets (classes, a < b) at least ``t`` similar, from their fingerprints."""
-    rows = ws.blocks(fp, ws.frequency_table(fp), t, hot)
-    x, y = rows.alias("x"), rows.alias("y")
-    n_a, n_b = F.shiftright("x.np", 32), F.shiftright("y.np", 32)
-    candidates = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & ws.pair_filter(F.col("x.np"), F.col("y.np"), t) & ws.sketch_filter("x", "y", n_a, n_b, t))
-        .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-        .distinct()
-    )
-    return rerank(candidates, fp, t)
+    freq = ws.frequency_table(fp)
+    rows = ws.blocks(fp, freq, ws.find_splits(fp, freq, t, hot, min_words), t, min_words=min_words)
+    return rerank(ws.met(rows, t), fp, t)
 
 
 def fingerprint_table(df: DataFrame, id_col: str = "id", text_col: str = "content", min_words: int = ws.MIN_WORDS) -> DataFrame:
     return materialize(ws.fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", ["id"], min_words), "fingerprints")
 
 
-def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (id_a, id_b), smaller id first, of the members of paired classes and of each class."""
-    m = members.select("cls", "id").distinct()
-    within = m.alias("p").join(m.alias("q"), (F.col("p.cls") == F.col("q.cls")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("id_a"), F.col("q.id").alias("id_b"))
-    across = (
+def _dealt(members: DataFrame, name: str, own: str, other: str) -> DataFrame:
+    """Members of a class with the number of their own part, and a row for each part they are joined with."""
+    return (
+        members.withColumn(own, F.pmod(F.xxhash64("id"), F.col("parts")))
+        .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        .select("cls", F.col("id").alias(name), own, other)
+    )
+
+
+def expand(pairs: DataFrame, members: DataFrame, most: int = MOST_COPIES) -> DataFrame:
+    """Pairs (id_a, id_b), smaller id first, of the members of paired classes and of each class.
+
+    A class of many copies is dealt into parts of about ``most`` and joined part by part, so that no task has a whole one."""
+    m = materialize(members.select("cls", "id").distinct(), "members")
+    parts = m.groupBy("cls").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).alias("parts"))
+    large = parts.where("parts > 1")
+    m = m.join(F.broadcast(large) if large.count() <= MOST_LARGE else large, "cls", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    left, right = _dealt(m, "p", "i", "j"), _dealt(m, "q", "j", "i")
+    within = left.join(right, ["cls", "i", "j"]).where("p < q").select(F.col("p").alias("id_a"), F.col("q").alias("id_b"))
+    # Across classes the parts of the two are different: each side has its own number, the other is counted on the pair.
+    sizes = m.groupBy("cls").agg(F.max("parts").alias("parts"))
+    ends = (
         pairs.select("a", "b")
-        .join(m.select(F.col("cls").alias("a"), F.col("id").alias("i")), "a")
-        .join(m.select(F.col("cls").alias("b"), F.col("id").alias("j")), "b")
-        .where("i != j")
-        .select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
+        .join(sizes.select(F.col("cls").alias("a"), F.col("parts").alias("parts_a")), "a")
+        .join(sizes.select(F.col("cls").alias("b"), F.col("parts").alias("parts_b")), "b")
+        .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_a") - 1)))
+        .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_b") - 1)))
+        .select("a", "b", "i", "j")
+    )
+    part = m.select("cls", "id", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    across = (
+        ends.join(part.select(F.col("cls").alias("a"), F.col("id").alias("x"), F.col("part").alias("i")), ["a", "i"])
+        .join(part.select(F.col("cls").alias("b"), F.col("id").alias("y"), F.col("part").alias("j")), ["b", "j"])
+        .where("x != y")
+        .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     )
     return within.unionByName(across)
 
@@ -69,7 +92,7 @@ def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
 def close_pairs(df: DataFrame, id_col: str = "id", text_col: str = "content", t: float = ws.SIMILARITY, min_words: int = ws.MIN_WORDS, hot: int = ws.HOT) -> DataFrame:
     """All pairs (id_a, id_b) of close texts, copies expanded."""
     fp = fingerprint_table(df, id_col, text_col, min_words)
-    return expand(class_pairs(fp, t, hot), fp).distinct()
+    return expand(class_pairs(fp, t, hot, min_words), fp).distinct()
 
 
 def near_duplicate_classes(df: DataFrame, id_col: str = "id", text_col: str = "content", t: float = ws.SIMILARITY, min_words: int = ws.MIN_WORDS, hot: int = ws.HOT) -> DataFrame:
@@ -77,7 +100,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "id", text_col: str = "c
     pairs) and n_links (other records it is close to, counted without expanding copies)."""
     fp = fingerprint_table(df, id_col, text_col, min_words)
     classes = materialize(fp.groupBy("cls").agg(F.min("id").alias("class_id"), F.countDistinct("id").alias("copies")), "p5-classes")
-    pairs = materialize(class_pairs(fp, t, hot), "p5-pairs")
+    pairs = materialize(class_pairs(fp, t, hot, min_words), "p5-pairs")
     ends = pairs.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("a").alias("other")))
     links = ends.join(classes.select(F.col("cls").alias("other"), "copies"), "other").groupBy("cls").agg(F.sum("copies").alias("links"))
     group = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
