@@ -403,10 +403,10 @@ def pair_filter(np_a: Column, np_b: Column, t: float) -> Column:
 def met(rows: DataFrame, t: float) -> DataFrame:
     """(a, b), a < b: different classes that share a block of one collection (``role`` both).
 
-    The rows are shuffled once; the two sides are told apart after that. Their filters name a random number (without effect),
+    The rows are shuffled once; the two sides are told apart after that. Their filters name a row number (without effect),
     else the optimizer would move them below the shuffle and shuffle twice."""
     rows = rows.repartition("key")
-    no = F.rand(0) < 0
+    no = F.monotonically_increasing_id() < 0
     x, y = rows.where(has_side(F.col("np"), LONG) | no).alias("x"), rows.where(has_side(F.col("np"), SHORT) | no).alias("y")
     n_x, n_y = size_of(F.col("x.np")), size_of(F.col("y.np"))
     longer = (n_x > n_y) | ((n_x == n_y) & (F.col("x.cls") > F.col("y.cls")))
