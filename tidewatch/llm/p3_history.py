@@ -16,15 +16,15 @@ cells of its leading coordinates. A query is probed in order of the distance bou
    skipped and 128 parity bits stand in the cell and give three more bounds before the full vectors are read;
 3. the candidates' full vectors are reranked exactly.
 
-What a batch costs. History is never vectorised, sorted or shuffled again. Cells and first records lie in ``buckets`` files a
-segment, bucketed and sorted by key; row groups are small and carry a Bloom filter of their keys, those of the vectors of their
+What a batch costs. History is never vectorised, sorted or shuffled again. Cells and first records lie bucketed and
+sorted by key; row groups are small and carry a Bloom filter of their keys, those of the vectors of their
 classes. A batch that wants at most ``FEW`` keys reads only the row groups that can hold one; a larger one joins the buckets in place. Only classes without an
 earlier record are probed, and only new classes are appended. Once the index has doubled since its order was made,
 ``reorder`` makes order and cells anew from the stored vectors and merges the segments, so words that became frequent since
 do not grow a cell without end; its cost is constant a record over the index's life.
 
-Layout under the index's path: ``vectors/segment=K``, ``firsts`` (class, first record) and, for each order G, ``order-G``
-(counters), ``splits-G``, ``cells-G``.
+Layout under the index's path: ``vectors/segment=K`` and, for each order G, ``order-G`` (counters), ``splits-G``, ``firsts-G``
+(class, first record) and ``cells-G``.
 
 Null, empty and short contents (under ``min_words`` words) are never repeats and never make others repeats. Ties in
 (batch_no, collected_at) are ordered by id; a null collected_at comes first. All history stands before all batches; among
@@ -53,6 +53,8 @@ HISTORY, NUMBERED, UNNUMBERED = 0, 1, 2
 FEW = 20_000
 #: Bytes of a row group, the least that a look-up reads.
 GROUP_BYTES = 1 << 21
+#: Classes a bucket is made for, and the most buckets.
+BUCKET_CLASSES, MOST_BUCKETS = 8192, 8192
 
 
 def _groups(key: str, size: int) -> dict[str, str]:
@@ -69,30 +71,27 @@ def few(wanted: DataFrame) -> list[int] | None:
 class CellIndex:
     """The persisted cells. ``path`` lies in the folder all executors share."""
 
-    def __init__(self, spark: SparkSession, path: str, t: float = ws.SIMILARITY, min_words: int = ws.MIN_WORDS, hot: int = ws.HOT, buckets: int = 64, group_bytes: int = GROUP_BYTES):
+    def __init__(self, spark: SparkSession, path: str, t: float = ws.SIMILARITY, min_words: int = ws.MIN_WORDS, hot: int = ws.HOT, buckets: int | None = None, group_bytes: int = GROUP_BYTES):
         self.spark, self.path, self.t, self.min_words, self.hot, self.buckets, self.group_bytes = spark, path, t, min_words, hot, buckets, group_bytes
-        self._order: tuple[int, np.ndarray, list[ws.Splits], int] | None = None
+        self._order: tuple[int, np.ndarray, list[ws.Splits], int, int] | None = None
 
-    def _bucketed(self, name: str, columns: str, key: str) -> str:
+    def _bucketed(self, name: str, columns: str, key: str, buckets: int) -> str:
         """A table of this session over the folder ``name``, bucketed and sorted by ``key``."""
         own = f"cell_index_{hashlib.md5(f'{self.path}/{name}'.encode()).hexdigest()}"
         options = ", ".join(f"'{k}' = '{v}'" for k, v in _groups(key, self.group_bytes).items())
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {own} ({columns}) USING parquet OPTIONS ({options}) CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {own} ({columns}) USING parquet OPTIONS ({options}) CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'")
         return own
 
-    def _append(self, rows: DataFrame, own: str, key: str) -> None:
-        rows.repartition(self.buckets, key).write.insertInto(own)
+    def _cells(self, order: int, buckets: int) -> str:
+        return self._bucketed(f"cells-{order}", "key bigint, np bigint, cls bigint, s1 bigint, s2 bigint", "key", buckets)
 
-    def _cells(self, order: int) -> str:
-        return self._bucketed(f"cells-{order}", "key bigint, np bigint, cls bigint, s1 bigint, s2 bigint", "key")
+    def _firsts(self, order: int, buckets: int) -> str:
+        return self._bucketed(f"firsts-{order}", f"cls bigint, {FIRST}", "cls", buckets)
 
-    def _firsts(self) -> str:
-        return self._bucketed("firsts", f"cls bigint, {FIRST}", "cls")
-
-    def _load(self) -> tuple[int, np.ndarray, list[ws.Splits], int]:
-        """The newest order: its number, counters, large blocks, and the classes it was made from."""
+    def _load(self) -> tuple[int, np.ndarray, list[ws.Splits], int, int]:
+        """The newest order: its number, counters, large blocks, the classes it was made from, and its buckets."""
         if self._order is None:
-            number, classes = self.spark.read.parquet(f"{self.path}/orders").agg(F.max(F.struct("number", "classes")).alias("x")).first()["x"]
+            number, classes, buckets = self.spark.read.parquet(f"{self.path}/orders").agg(F.max(F.struct("number", "classes", "buckets")).alias("x")).first()["x"]
             got = self.spark.read.parquet(f"{self.path}/order-{number}").toArrow()
             freq = np.zeros(ws.BUCKETS, np.int32)
             freq[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
@@ -101,34 +100,37 @@ class CellIndex:
             for _, x in split.groupby("level"):
                 order = np.argsort(x["key"].to_numpy().view(np.uint64))
                 levels.append(ws.Splits(*[x[c].to_numpy()[order].view(np.uint64) if c == "key" else x[c].to_numpy()[order] for c in ws.Splits._fields]))
-            self._order = number, freq, levels, classes
+            self._order = number, freq, levels, classes, buckets
         return self._order
 
-    def _save(self, number: int, freq: np.ndarray, splits: list[ws.Splits], classes: int) -> None:
+    def _save(self, number: int, freq: np.ndarray, splits: list[ws.Splits], classes: int, buckets: int) -> None:
         at = np.flatnonzero(freq)
         self.spark.createDataFrame(pa.table({"bucket": at.astype(np.int32), "n": freq[at]})).coalesce(1).write.parquet(f"{self.path}/order-{number}")
         columns = {c: np.concatenate([getattr(x, c) for x in splits]) if splits else np.empty(0, np.int64) for c in ws.Splits._fields}
         kept = {c: pa.array(v.view(np.int64) if c == "key" else v.astype(bool if c == "split" else np.int64)) for c, v in columns.items()}
         level = np.concatenate([np.full(len(x.key), i) for i, x in enumerate(splits)]) if splits else np.empty(0, np.int64)
         self.spark.createDataFrame(pa.table({"level": pa.array(level.astype(np.int64)), **kept})).coalesce(1).write.parquet(f"{self.path}/splits-{number}")
-        self.spark.createDataFrame([(number, classes)], "number int, classes bigint").coalesce(1).write.mode("append").parquet(f"{self.path}/orders")
-        self._order = number, freq, splits, classes
+        self.spark.createDataFrame([(number, classes, buckets)], "number int, classes bigint, buckets int").coalesce(1).write.mode("append").parquet(f"{self.path}/orders")
+        self._order = number, freq, splits, classes, buckets
 
     def build(self, history: DataFrame) -> "CellIndex":
         """Index ``history`` (id, content, collected_at)."""
-        vectors = self._vectors(history.withColumns({"stage": F.lit(HISTORY), "batch_no": F.lit(None).cast("int")}), 0)
-        self._append(vectors.groupBy("cls").agg(F.min(F.struct(*ORDER)).alias("first")).select("cls", "first.*"), self._firsts(), "cls")
-        self._hold(self.spark.table(self._firsts()).count())
+        self._vectors(history.withColumns({"stage": F.lit(HISTORY), "batch_no": F.lit(None).cast("int")}), 0)
         self.reorder(0)
         return self
 
     def reorder(self, number: int) -> None:
-        """Make the order, the large blocks and all cells from the stored vectors."""
+        """Make the order, the large blocks, first records and all cells from the stored vectors, in as many buckets as they need."""
         vectors = self.vectors()
+        first = materialize(vectors.groupBy("cls").agg(F.min(F.struct(*ORDER)).alias("first")).select("cls", "first.*"), "firsts")
+        classes = first.count()
+        buckets = self.buckets or int(min(MOST_BUCKETS, max(8, classes // BUCKET_CLASSES)))
+        first.repartition(buckets, "cls").write.insertInto(self._firsts(number, buckets))
         freq = ws.frequency_table(vectors)
         splits = ws.find_splits(vectors, freq, self.t, self.hot, self.min_words)
-        self._append(ws.blocks(vectors, freq, splits, self.t, "stored", min_words=self.min_words), self._cells(number), "key")
-        self._save(number, freq, splits, self._held())
+        ws.blocks(vectors, freq, splits, self.t, "stored", min_words=self.min_words).repartition(buckets, "key").write.insertInto(self._cells(number, buckets))
+        self._hold(classes)
+        self._save(number, freq, splits, classes, buckets)
 
     def _vectors(self, rows: DataFrame, segment: int) -> DataFrame:
         at = f"{self.path}/vectors/segment={segment}"
@@ -141,9 +143,9 @@ class CellIndex:
 
     def near(self, vectors: DataFrame) -> DataFrame:
         """(a, b): classes of ``vectors`` and close, different ones anywhere in the index, by the full vectors."""
-        number, freq, splits, _ = self._load()
+        number, freq, splits, _, buckets = self._load()
         probes = materialize(ws.blocks(vectors, freq, splits, self.t, "probe", min_words=self.min_words), "probes")
-        cells = self.spark.table(self._cells(number))
+        cells = self.spark.table(self._cells(number, buckets))
         keys = few(probes.select("key").distinct())
         candidates = materialize(ws.met_across(probes, cells if keys is None else cells.where(F.col("key").isin(keys)), self.t).distinct(), "candidates")
         ends = materialize(candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "ends")
@@ -162,7 +164,8 @@ class CellIndex:
 
     def _first_of(self, classes: DataFrame) -> DataFrame:
         """(cls, first) of those of ``classes`` (cls) that the index holds."""
-        firsts = self.spark.table(self._firsts())
+        number, *_, buckets = self._load()
+        firsts = self.spark.table(self._firsts(number, buckets))
         wanted = few(classes)
         found = firsts.join(classes, "cls", "left_semi") if wanted is None else firsts.where(F.col("cls").isin(wanted))
         return materialize(found.groupBy("cls").agg(F.min(F.struct(*ORDER)).alias("first")), "firsts")
@@ -178,9 +181,9 @@ class CellIndex:
         known = own.join(self._first_of(own.select("cls")), "cls", "left")
         earlier = materialize(known.select("cls", "own", "first", (F.col("first").isNull()).alias("new"), (F.col("first").isNull() | (F.col("own") < F.col("first"))).alias("leads")), "earlier")
         leading = vectors.join(earlier.where("leads").select("cls", "new"), "cls").select("vec", "cls", "s1", "s2", "new")
-        number, freq, splits, classes = self._load()
-        self._append(ws.blocks(leading.where("new"), freq, splits, self.t, "stored", min_words=self.min_words), self._cells(number), "key")
-        self._append(earlier.where("leads").select("cls", "own.*"), self._firsts(), "cls")
+        number, freq, splits, classes, buckets = self._load()
+        ws.blocks(leading.where("new"), freq, splits, self.t, "stored", min_words=self.min_words).repartition(buckets, "key").write.insertInto(self._cells(number, buckets))
+        earlier.where("leads").select("cls", "own.*").repartition(buckets, "cls").write.insertInto(self._firsts(number, buckets))
         near = self.near(leading)
         first_near = self._first_of(near.select(F.col("b").alias("cls")).distinct()).withColumnRenamed("cls", "b")
         by_near = near.join(first_near, "b").groupBy(F.col("a").alias("cls")).agg(F.min("first").alias("near"))
