@@ -1,9 +1,15 @@
 """Personal information inside free text (problem 6).
 
-Method: regular expressions propose spans, each with a first score; checksum validators (mod-97, mod-11 ...) raise it and
+Method: regular expressions propose spans, each with a first score; checksum validators (mod-97, mod-11, Luhn ...) raise it and
 the words around a span raise or lower it; spans at ``ACCEPT`` or more are replaced by typed placeholders such as ``<EMAIL>``.
 Numbers without a shape of their own need a validator or a word that names them, or stand in a list line with other personal
-data. Words such as ``ticket``, ``session`` or ``build`` before a number speak against it.
+data; the number kinds that carry a Luhn digit (nine digits in threes, thirteen digits with a date) need a naming word as well. Words
+such as ``ticket``, ``session`` or ``build`` before a number speak against it.
+
+Names. Two or three words are a person by what speaks for it together (``name_score``): capitals where they mean something, a
+naming word before them, other personal data in the same stretch of a sentence, a frequent given name, the ending of a family
+name; words of organisations, versions and function words speak against it. None of these is needed by itself, in particular
+no list has to hold the name. Initials, patronymics, named fields, list lines and Chinese and Persian names have forms of their own.
 
 Kinds: email, phone, national_id, address, name. Logins at bare IP addresses are no e-mail addresses; handles are no names.
 Of overlapping spans the better scored one holds, of equal ones the longer. Null stays null, empty stays empty; texts of any
@@ -25,15 +31,15 @@ from tidewatch.tables import table
 ACCEPT = 0.5
 KINDS = ("email", "national_id", "phone", "address", "name")
 
-#: Given names, frequent ones of the eight languages (fixed values).
+#: Given names that public statistics list among the most frequent, for each language (fixed values). They only add to a score.
 GIVEN = (
-    "alice brenda calvin derek howard judith martin nora oliver paula james mary robert linda john susan david karen "
-    "галина егор ирина лариса марина олег полина степан тимур виктор александр сергей дмитрий андрей алексей елена ольга наталья татьяна анна мария иван михаил екатерина "
-    "богдан ганна леся мирон оксана тарас андрій олександр сергій олена наталія ірина іван микола "
-    "anke detlef gudrun heike jurgen lutz sabine wolfram hans peter thomas klaus wolfgang ursula monika petra dieter renate helga uwe "
-    "bastien elodie florent maelle odile solene jean pierre michel philippe nathalie isabelle sylvie laurent thierry christophe camille julien chantal "
-    "esteban joaquin marisol pilar rocio jose juan carlos javier carmen ana isabel dolores miguel rafael manuel lucia "
-    "آرش بهرام پروانه نرگس کاوه لیلا سهراب محمد علی رضا حسین فاطمه زهرا مریم احمد مهدی"
+    "james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen "
+    "александр елена сергей татьяна владимир наталья андрей ольга алексей ирина дмитрий анна николай светлана иван мария евгений екатерина михаил галина "
+    "олександр олена сергій тетяна володимир наталія андрій марія микола ганна юрій людмила віктор оксана василь надія іван ольга "
+    "peter maria hans ursula michael monika thomas petra andreas elisabeth wolfgang sabine klaus renate jürgen helga günter karin stefan brigitte "
+    "marie jean nathalie michel isabelle pierre sylvie philippe catherine alain martine nicolas christine christophe françoise patrick valérie laurent sandrine "
+    "antonio carmen josé ana manuel isabel francisco laura juan lucía javier marta carlos cristina miguel elena rafael pilar pedro dolores "
+    "محمد فاطمه علی زهرا حسین مریم مهدی معصومه رضا سکینه حسن زینب احمد رقیه عباس لیلا اکبر خدیجه ابوالفضل نرگس"
 ).split()
 #: Chinese family names, the most frequent ones (fixed values).
 FAMILY_HAN = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤谌"
@@ -77,6 +83,8 @@ ID_SHAPES = [
     (re.compile(r"(?<![\w+])\d \d\d \d\d \d\d \d{3} \d{3} \d\d(?!\w)"), 0.7, "mod97"),
     (re.compile(r"(?<![\w.,/#:@+=-])\d{17}[\dXx](?!\w)|(?<=[=:;|])\d{17}[\dXx](?!\w)"), 0.4, "mod11_2"),
     (re.compile(r"(?<![\w.,/#:@+-])\d{15}(?!\w)"), 0.3, "mod97"),
+    (re.compile(r"(?<![\w.,/#:@+-])\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{7}(?!\w)"), 0.15, "luhn"),
+    (re.compile(r"(?<![\w.,/#:@+-])\d{3}([ -])\d{3}\1\d{3}(?![\w-])"), 0.1, "luhn"),
     (re.compile(r"(?<![\w.,/#:@+-])\d{12}(?![\w,.]\w|\w)"), 0.1, None),
     (re.compile(r"(?<![\w.,/#:@+-])\d{10}(?![\w,.]\w|\w)"), 0.1, "mod11"),
     (re.compile(r"(?<![\w.,/#:@+-])\d{9}(?![\w,.]\w|\w)"), 0.1, None),
@@ -121,16 +129,37 @@ KEY_NAME = re.compile(r"(?:^|[\s{,;|\"'])(?:full_?name|name|fio|фио|имя|п
 PATRONYMIC = re.compile(rf"(?<!\w){LETTER}{{3,}} {LETTER}{{3,}} {LETTER}+(?:ович|евич|ьич|овна|евна|ична|инична)(?!\w)", re.IGNORECASE)
 INITIALS = re.compile(rf"(?<![\w.])(?:([A-ZА-ЯІЇЄҐÀ-Þ]{LETTER}{{3,}}),? [A-ZА-ЯІЇЄҐÀ-Þ]\.(?: ?[A-ZА-ЯІЇЄҐÀ-Þ]\.)?|[A-ZА-ЯІЇЄҐÀ-Þ]\. ?(?:[A-ZА-ЯІЇЄҐÀ-Þ]\. ?)?([A-ZА-ЯІЇЄҐÀ-Þ]{LETTER}{{3,}}))(?!\w)")
 SURNAME_END = re.compile(r"(?:ов|ев|ёв|ин|цев|ский|ской|енков|ухин|ова|ева|ина|ская|енко|чук|ишин|ець|ук|юк|by|ham|wick|ley|ford|son|ton|ez|ero|uela|ano|ette|ault|ier|ard|meier|mayer|hausen|brück|ling|mann|berger)$", re.IGNORECASE)
-NAME_WORDS = re.compile(
-    r"(?:name|named|shipped to|belongs to|shows|ask(?: for)?|call|это|имя|имени|фамилией|есть|паспорт\W[\w №-]*?,|спросить|запитати|заказ|ім'я|файлі є|nombre(?: de)?|figura|pregunte por|pour|demandez|montre|nach|fragen|ging an|steht|нام|به نام|نام|寄给了|文件里有|叫|找)\W*$",
+#: Words that a person's name follows, in the eight languages: those that hardly have another use, and those that often have.
+NAMING = re.compile(
+    r"(?<!\w)(?:(?:full |first |last )?names?(?: is| of)?|named|called|call|phone|contact(?:ed|ing)?|ask(?:ed|ing)? for|(?:speak|spoke|talk|talked|write|wrote) (?:to|with)|(?:sent|shipped|delivered|addressed|issued|registered) to|"
+    r"(?:owned|signed|written) by|mr\.?|mrs\.?|ms\.?|miss|dr\.?|prof\.?|attn\.?|dear|employee|manager|director|accountant|colleague|customer|client|patient|doctor|lawyer|teacher|"
+    r"имя|имени|фамили[яейю]+|зовут|звать|спроси\w+|господин\w*|госпож\w*|г-н\w*|г-ж\w*|граждан\w+|клиент\w*|сотрудни\w+|директор\w*|бухгалтер\w*|владел\w+|получател\w+|врач\w*|"
+    r"ім['’]я|імені|прізвищ\w+|звати|запита\w+|пан[аіу]?|пані|громадян\w+|клієнт\w*|власник\w*|отримувач\w*|співробітни\w+|"
+    r"namens?|heißt|herrn?|frau|kundin|kunde|inhaber\w*|mitarbeiter\w*|ansprechpartner\w*|ausgestellt auf|ging an|geht an|"
+    r"nom(?: de)?|nommée?|appel(?:ée?|ez)|demand(?:ez|er)|m\.|mme|mlle|monsieur|madame|docteur|titulaire|employée?|destinataire|contact(?:ez|er)|"
+    r"nombre(?: de)?|llamad[oa]|se llama|pregunt\w+ por|señora?|sra?\.?|don|doña|cliente|titular|destinatari[oa]|emplead[oa]|contact\w+ (?:a|con)|"
+    r"نام|سراغ|متعلق به|آقای|خانم|دکتر|مشتری|کارمند)[\s:«\"'-]*$",
     re.IGNORECASE,
 )
-#: A phrase that a person's name follows, and two or three words after it, of which one has a family name's ending.
-CONTEXTS = (
-    "name ", "named ", "shipped to ", "belongs to ", "file shows ", "ask for ", "call ", "это ", "имя ", "имени ", "фамилией ", "файле есть ", "файлі є ", "ім'я ", "прізвищем ", "спросить ",
-    "запитати ", "це ", "nombre de ", "nombre ", "figura ", "pregunten por ", "pertenece a ", "parti pour ", "demandez ", "fichier montre ", "appartient à ", "nach ", "ging an ", "abzug steht ", "gehört ",
-)
-NAME_HERE = re.compile(rf"({WORD},? {WORD}(?: {WORD})?)")
+NAMING_WEAK = re.compile(
+    r"(?<!\w)(?:belongs? to|gehört|appartient à|pertenece a|принадлежит|належить|shows?|lists?|mentions?|met|with|by|to|это|есть|указан\w*|значится|є|це|вказано|für|von|nach|an|steht|ist|pour|par|montre|mentionne|est|figura|muestra|por|para|es)[\s:«\"'-]*$", re.IGNORECASE
+)
+#: Words before the name of an organisation or a place, and words within or after one.
+ORGANISED = re.compile(
+    r"(?<!\w)(?:at|group|gang|company|firm|bank|team|bei|gruppe|firma|unternehmen|группа|группы|компани\w+|банк\w*|фирм\w+|группировк\w+|угрупован\w+|компані\w+|chez|groupe|société|entreprise|banque|empresa|grupo|banco|server[ns]?|servers? of)\W*$",
+    re.IGNORECASE,
+)
+ORGANISATION = re.compile(r"\b(?:inc|ltd|llc|plc|corp|gmbh|ag|group|bank|university|institute|hospital|ministry|team|ransomware|locker|street|road|avenue|market|forum)\b|^\W{0,2}v?\d+\.\d", re.IGNORECASE)
+CAPITAL = "A-ZА-ЯІЇЄҐЁÀ-Þ"
+CAPWORD = rf"[{CAPITAL}]{LETTER}*(?:[-'’]{LETTER}+)*"
+#: Two or three words with capitals, also with a comma after the first.
+CAPPED = re.compile(rf"(?<![\w@.#/_-]){CAPWORD},? {CAPWORD}(?: {CAPWORD})?(?![\w@=]|[-_./]\w)")
+#: Characters on either side of other personal data within which a name counts as said together with it.
+REACH = 48
+SEPARATORS = frozenset(";|,\t\n:-–→")
+#: The same words anywhere, with the space after them.
+NAMING_HERE = re.compile("(?:" + NAMING.pattern.replace("$", "") + "|" + NAMING_WEAK.pattern.replace("$", "") + r")(?<=\W)", re.IGNORECASE)
+NAME_HERE = re.compile(rf"({WORD},? {WORD}(?: {WORD})?)(?![@_=])")
 PERSIAN_NAME = re.compile(r"(?:به نام|فایل نام|سراغ|متعلق به)\s+(\w{2,} \w{3,})\s+(?:به|با|را|از|است)")
 LIST_FIELD = re.compile(rf"(?:^|(?<=[;|\t])|(?<= , ))[ ]*({WORD},? {WORD}(?: {WORD})?)[ ]*(?=$|[;|\t]| , )", re.MULTILINE)
 AFTER_ID = re.compile(rf", ({WORD},? {WORD}(?: {WORD})?)")
@@ -181,7 +210,7 @@ def dni(x: str) -> bool:
     return "TRWAGMYFPDXBNJZSQVHLCKE"[number % 23] == x[-1]
 
 
-VALIDATORS = {"mod97": lambda x: mod97(re.sub(r"\D", "", x)), "mod11_2": mod11_2, "mod11": lambda x: mod11(re.sub(r"\D", "", x)), "snils": snils, "dni": dni}
+VALIDATORS = {"mod97": lambda x: mod97(re.sub(r"\D", "", x)), "mod11_2": mod11_2, "mod11": lambda x: mod11(re.sub(r"\D", "", x)), "snils": snils, "dni": dni, "luhn": lambda x: luhn(re.sub(r"\D", "", x))}
 
 
 def fold(word: str) -> str:
@@ -192,36 +221,27 @@ def fold(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", low) if not unicodedata.combining(c))
 
 
-GIVEN_SET = frozenset(GIVEN)
+GIVEN_SET = frozenset(fold(w) for w in GIVEN)
 TOKEN = re.compile(WORD)
 SIMPLE = re.compile(rf"{LETTER}+")
 
 
-def names_by_given(text: str) -> list[tuple[int, int, float]]:
-    """A known given name beside a family name, in either order and any case."""
-    low = text.lower()
+def given_pairs(text: str, low: str):
+    """(start, end) of a frequent given name beside another word, in either order and any case."""
     if GIVEN_SET.isdisjoint(SIMPLE.findall(fold(text) if ACCENT.search(text) else low)):
-        return []
+        return
     words = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(text)]
-    out = []
     for i, (start, end, w) in enumerate(words):
         if fold(w) not in GIVEN_SET:
             continue
-        arabic = "؀" <= w[0] <= "ۿ"
         if (start and text[start - 1] in "@_./") or (end < len(text) and text[end] in "@_.=" and text[end : end + 2].strip() != text[end : end + 1]):
             continue
-        done = False
-        if i + 1 < len(words):
-            s, e, f = words[i + 1]
-            between = text[end:s]
-            if between in (" ", "  ") and len(f) > 2 and f.lower() not in NO_FAMILY and (arabic or f[0].isupper() or w[0].islower()) and not (e < len(text) and text[e] in "@_"):
-                out.append((start, e, 0.8 if w[0].isupper() or arabic else 0.6))
-                done = True
-        if not done and i and not arabic:
-            s, e, f = words[i - 1]
-            if text[e:start] in (" ", ", ") and len(f) > 3 and f.lower() not in NO_FAMILY and (f[0].isupper() or (w[0].islower() and SURNAME_END.search(f))) and (SURNAME_END.search(f) or f.isupper()):
-                out.append((s, end, 0.8 if f[0].isupper() else 0.6))
-    return out
+        for j in (i + 1, i - 1):
+            if 0 <= j < len(words):
+                s, e, f = words[j]
+                between = text[end:s] if j > i else text[e:start]
+                if between in ((" ", "  ") if j > i else (" ", ", ")) and len(f) > 2 and not (e < len(text) and text[e] in "@_"):
+                    yield min(s, start), max(e, end)
 
 
 def line_of(text: str, at: int) -> tuple[int, int]:
@@ -240,16 +260,46 @@ def family_like(words: str) -> bool:
     return not any(w.lower() in NO_FAMILY for w in parts) and any(len(w) > 4 and SURNAME_END.search(w) for w in parts)
 
 
-def named_here(text: str, low: str):
-    """Two or three words after each context phrase. ``low``: the text in lower case, letter by letter."""
-    for phrase in CONTEXTS:
-        at = low.find(phrase)
-        while at >= 0:
-            if not at or not low[at - 1].isalnum():
-                m = NAME_HERE.match(text, at + len(phrase))
-                if m:
-                    yield m
-            at = low.find(phrase, at + 1)
+def name_score(text: str, start: int, end: int, beside: bool) -> float:
+    """How much speaks for ``text[start:end]``, two or three words, being a person. ``beside``: other personal data is near."""
+    part = text[start:end]
+    words = TOKEN.findall(part)
+    before, after = text[max(0, start - 40) : start], text[end : end + 24]
+    if any(w.lower() in NO_FAMILY for w in words) or not titled(part) or ORGANISATION.search(part) or ORGANISATION.match(after.lstrip()):
+        return 0.0
+    given = any(fold(w) in GIVEN_SET for w in words)
+    no_case = part[0].lower() == part[0].upper()
+    family = any(len(w) > 4 and SURNAME_END.search(w) for w in words)
+    if not no_case and part[0].islower() and not family:
+        return 0.0
+    shouted = part.isupper() and before.isupper()  # capitals say nothing among capitals
+    score = 0.2 if no_case and given else 0.25 if part[0].isupper() and not shouted else 0.05
+    score += 0.35 * beside + 0.3 * given + 0.15 * family
+    score += 0.4 if NAMING.search(before) else 0.2 if NAMING_WEAK.search(before) else -0.35 if ORGANISED.search(before) else 0.0
+    return score
+
+
+def _sentence(text: str, start: int, end: int) -> tuple[int, int]:
+    """The stretch around a span that stands in its line, its sentence and within reach. A full stop after a short word ends none."""
+    lo, hi = line_of(text, start)
+    lo, hi = max(lo, start - REACH), min(hi, end + REACH)
+    for m in SENTENCE_END.finditer(text, lo, start):
+        lo = m.end()
+    m = SENTENCE_END.search(text, end, hi)
+    return lo, m.start() if m else hi
+
+
+SENTENCE_END = re.compile(rf"(?:(?<={LETTER}{{4}})|(?<=\d)|(?<=[)\]\"»]))[.!?]\s(?=[{CAPITAL}])|[。！？؟]|(?<=\d)\s(?=[{CAPITAL}]{LETTER}*\s(?:[{CAPITAL}]\S*\s)?(?![{CAPITAL}]){LETTER}+)")
+
+
+def trimmed(text: str, start: int, end: int):
+    """The words of a span, and without the last or the first of three."""
+    words = [(m.start() + start, m.end() + start) for m in TOKEN.finditer(text[start:end])]
+    if len(words) == 3:
+        yield words[0][0], words[2][1]
+    if len(words) >= 2:
+        yield words[0][0], words[1][1]
+        yield words[-2][0], words[-1][1]
 
 
 def _number_spans(text: str, found: list[list]) -> None:
@@ -289,8 +339,29 @@ def _number_spans(text: str, found: list[list]) -> None:
 
 
 def _name_spans(text: str, low: str, found: list[list]) -> None:
-    for s, e, score in names_by_given(text):
-        found.append([s, e, "name", score])
+    near = []
+    for x in found:
+        if x[3] >= ACCEPT:
+            lo, hi = _sentence(text, x[0], x[1])
+            follows = text[x[1] : x[1] + 3].strip(" ")[:1]
+            if x[2] == "address" or (x[2] == "email" and not (follows in SEPARATORS or follows.islower())):
+                hi = x[1]  # after a street comes a town, after a mail address often a new sentence
+            near.append((lo, hi))
+
+    def judge(start: int, end: int, from_start: bool = False) -> None:
+        beside = any(lo <= start and end <= hi + 8 for lo, hi in near)
+        best = max(((name_score(text, s, e, beside), e - s, s, e) for s, e in trimmed(text, start, end) if not from_start or s == start), default=(0.0, 0, 0, 0))
+        if best[0] >= 0.2:
+            found.append([best[2], best[3], "name", best[0]])
+
+    for s, e in given_pairs(text, low):
+        judge(s, e)
+    searched = set()
+    for lo, hi in near:
+        for m in CAPPED.finditer(text, lo, min(len(text), hi + 8)):
+            if m.start() not in searched:
+                searched.add(m.start())
+                judge(m.start(), m.end())
     if any(h in low for h in PATRONYMIC_HINTS):
         for m in PATRONYMIC.finditer(text):
             found.append([m.start(), m.end(), "name", 0.9])
@@ -299,20 +370,16 @@ def _name_spans(text: str, low: str, found: list[list]) -> None:
             value = m.group(1).strip()
             if (2 <= len(TOKEN.findall(value)) <= 4 and not re.search(r"[\d@/_]", value)) or re.fullmatch(r"[一-鿿]{2,4}", value):
                 found.append([m.start(1), m.start(1) + len(m.group(1).rstrip()), "name", 0.7])
-    for m in named_here(text, low):
-        words = TOKEN.findall(m.group(1))
-        for many in (3, 2):  # three words, or the first two
-            if len(words) >= many:
-                end = m.start(1) + re.match(rf"{WORD}(?:,? {WORD}){{{many - 1}}}", m.group(1)).end()
-                part = text[m.start(1) : end]
-                if titled(part) and family_like(part) and not (end < len(text) and text[end] in "@_"):
-                    found.append([m.start(1), end, "name", 0.65 if part[0].isupper() else 0.55])
-                    break
+    for m in NAMING_HERE.finditer(text):
+        here = NAME_HERE.match(text, m.end())
+        if here:
+            judge(here.start(), here.end(), True)
     for m in INITIALS.finditer(text):
         family = m.group(1) or m.group(2)
         before = text[max(0, m.start() - 40) : m.start()]
-        found.append([m.start(), m.end(), "name", 0.2 + 0.3 * bool(SURNAME_END.search(family)) + 0.3 * bool(NAME_WORDS.search(before))])
-    if "نام" in text or "سراغ" in text:
+        beside = any(lo <= m.start() and m.end() <= hi for lo, hi in near)
+        found.append([m.start(), m.end(), "name", 0.2 + 0.3 * bool(SURNAME_END.search(family)) + 0.3 * bool(NAMING.search(before) or NAMING_WEAK.search(before)) + 0.2 * beside])
+    if "نام" in text or "سراغ" in text or "متعلق" in text:
         for m in PERSIAN_NAME.finditer(text):
             found.append([m.start(1), m.end(1), "name", 0.7])
     if HAN.search(text):
@@ -337,8 +404,10 @@ def _listed_spans(text: str, found: list[list]) -> None:
     for x in strong:
         if x[2] == "national_id":
             m = AFTER_ID.match(text, x[1])
-            if m and titled(m.group(1)) and family_like(m.group(1)):
-                found.append([m.start(1), m.end(1), "name", 0.6])
+            for s, e in trimmed(text, m.start(1), m.end(1)) if m else ():
+                if s == m.start(1) and titled(text[s:e]) and family_like(text[s:e]):
+                    found.append([s, e, "name", 0.6])
+                    break
     for x in found:
         if 0 < x[3] < ACCEPT:
             lo, hi = line_of(text, x[0])
