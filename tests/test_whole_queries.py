@@ -15,10 +15,10 @@ def test_char_grams_of_whole_texts(spark, tmp_path):
     want = {}
     for i, t in enumerate(texts):
         x = (t or "").lower()
-        grams = [x[k : k + n] for n in (2, 3, 4) for k in range(len(x) - n + 1)]
+        grams = [x[k : k + n] for n in (2, 3, 4, 5) for k in range(len(x) - n + 1)]
         want[str(i)] = (len(grams), len(set(grams)))
-    got = {r.id: (r.grams, r.different) for r in QUERIES["char_grams_whole"](spark, d).collect()}
-    assert got == want and got["0"][0] == 61 + 60 + 59
+    got = {r.id: (r.grams, r.different) for r in QUERIES["char_grams"](spark, d).collect()}
+    assert got == want and got["0"][0] == 61 + 60 + 59 + 58
 
 
 def test_noise_flags_of_all_rows(spark, tmp_path):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer, StringIndexer, NGram, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer, StringIndexer, NGram, SQLTransformer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +39,10 @@ def exclusion_reason(gold: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def first_by_hash(rows: DataFrame) -> DataFrame:
-    """The earliest row (time, id) of each content hash; rows without a hash are one group, as for an equal value."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("content_hash").orderBy("collected_at", "id"))).where("_n = 1").drop("_n")
+    """The earliest row (time, id) of each content hash; rows without a hash are one group, as for an equal value.
+
+    An aggregation, so a hot hash is reduced before the shuffle."""
+    return rows.groupBy("content_hash").agg(F.min_by(F.struct(*rows.columns), F.struct("collected_at", "id")).alias("_r")).select("_r.*")
 
 
 def label_conflicts(rows: DataFrame) -> DataFrame:
@@ -50,15 +52,16 @@ def label_conflicts(rows: DataFrame) -> DataFrame:
 def temporal_split(rows: DataFrame, train: float = 0.8, val: float = 0.1) -> DataFrame:
     """By position in (time, id): the first int(0.8 n) train, the next int(0.1 n) val, the rest test.
 
-    Positions come from day buckets: rows before a day by a sum over days, rows within it by a window of the day, so no
-    task holds all rows."""
-    x = rows.withColumn("_day", F.coalesce(F.floor(F.unix_seconds("collected_at") / 86400), F.lit(-(10**9))))
-    days = x.groupBy("_day").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy("_day")
-    days = days.select("_day", (F.sum("_c").over(w) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
-    x = x.join(days, "_day").withColumn("_p", F.col("_before") + F.row_number().over(Window.partitionBy("_day").orderBy("collected_at", "id")))
+    Positions come from buckets of an hour (rows without a time, which come first: of the first letters of their ids): rows
+    before a bucket by a sum over buckets, rows within it by a window of the bucket, so no task holds all rows."""
+    none = F.col("collected_at").isNull()
+    x = rows.withColumn("_hour", F.when(none, -(10**9)).otherwise(F.floor(F.unix_seconds("collected_at") / 3600))).withColumn("_part", F.when(none, F.left("id", F.lit(3))).otherwise(""))
+    hours = x.groupBy("_hour", "_part").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.orderBy("_hour", "_part")
+    hours = hours.select("_hour", "_part", (F.sum("_c").over(w) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    x = x.join(hours, ["_hour", "_part"]).withColumn("_p", F.col("_before") + F.row_number().over(Window.partitionBy("_hour", "_part").orderBy("collected_at", "id")))
     a, b = F.floor(F.col("_n") * train), F.floor(F.col("_n") * train) + F.floor(F.col("_n") * val)
-    return x.withColumn("split", F.when(F.col("_p") <= a, "train").when(F.col("_p") <= b, "val").otherwise("test")).drop("_day", "_before", "_n", "_p")
+    return x.withColumn("split", F.when(F.col("_p") <= a, "train").when(F.col("_p") <= b, "val").otherwise("test")).drop("_hour", "_part", "_before", "_n", "_p")
 
 
 def assemble(rows: DataFrame, gold: DataFrame) -> DataFrame:
@@ -84,10 +87,15 @@ def checked(df: DataFrame) -> DataFrame:
 
 def stratified_sample(df: DataFrame, targets: dict[str, int], seed: int = 42, class_col: str = "label", cut: int = 4096) -> DataFrame:
     """For each class the rows of smallest seeded hash, as many as its target; contents cut."""
-    want = F.lit(0)
+    want, share = F.lit(0), F.lit(0.0)
+    sizes = {r[0]: r[1] for r in df.where(F.col(class_col).isin(*targets)).groupBy(class_col).count().collect()}
     for c, n in targets.items():
         want = F.when(F.col(class_col) == c, n).otherwise(want)
-    x = df.withColumn("_n", F.row_number().over(Window.partitionBy(class_col).orderBy(F.xxhash64("id", F.lit(seed)), "id"))).where(F.col("_n") <= want).drop("_n")
+        # Hashes below this share of their range hold n rows but for odds of about 1e-15; only these are sorted.
+        share = F.when(F.col(class_col) == c, min(1.0, (n + 8 * n**0.5 + 32) / max(1, sizes.get(c, 0)))).otherwise(share)
+    h = F.xxhash64("id", F.lit(seed))
+    few = df.where(h.cast("double") / F.lit(2.0**64) + F.lit(0.5) <= share)
+    x = few.withColumn("_n", F.row_number().over(Window.partitionBy(class_col).orderBy(h, "id"))).where(F.col("_n") <= want).drop("_n")
     return x.withColumn("content", F.left("content", F.lit(cut))) if "content" in x.columns else x
 
 
@@ -152,7 +160,7 @@ def _piece(text: Column, size: int):
     return lambda at: F.substring(text, at, F.lit(size))
 
 
-def char_grams(text: Column, low: int = 2, high: int = 4) -> Column:
+def char_grams(text: Column, low: int = 2, high: int = 5) -> Column:
     """Distinct-position character n-grams of the lower-cased text; none for texts shorter than ``low``."""
     # The lower-cased text is bound by a one-element transform, so that it is made once and not for every gram.
     lowered = F.array(F.lower(F.coalesce(text, F.lit(""))))
@@ -168,8 +176,9 @@ def pipeline(model: str = "svc", char_features: int = 300_000, word_features: in
     """TF-IDF over characters and words, with a linear classifier. Input: text, chars (``char_grams``), label."""
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}]+")
     pairs = NGram(n=2, inputCol="words", outputCol="pairs")
-    parts, stages = [], [words, pairs]
-    for source, size in (("chars", char_features), ("words", word_features), ("pairs", word_features)):
+    terms = SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__")
+    parts, stages = [], [words, pairs, terms]
+    for source, size in (("chars", char_features), ("terms", word_features)):
         stages += [CountVectorizer(inputCol=source, outputCol=f"{source}_tf", vocabSize=size, minDF=min_df), IDF(inputCol=f"{source}_tf", outputCol=f"{source}_idf")]
         parts.append(f"{source}_idf")
     stages += [VectorAssembler(inputCols=parts, outputCol="features"), StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc")]

@@ -159,8 +159,8 @@ VULN_UPDATED = ("description", "cvss_v31_score", "cvss_v31_vector", "cvss_severi
 VULN_FIRST = ("cwe_ids", "affected_products", "reference_urls", "published_at", "last_modified_at")
 
 
-def upsert_vulnerabilities(old: DataFrame, new: DataFrame, strict_parity: bool = False) -> DataFrame:
-    """By cve_id. The KEV flag sticks once set; ``strict_parity`` lets any update without it clear it, as the reference does."""
+def upsert_vulnerabilities(old: DataFrame, new: DataFrame, strict_parity: bool = True) -> DataFrame:
+    """By cve_id. The KEV flag is that of the update; without ``strict_parity`` it sticks once set."""
     o, n = old.alias("o"), new.alias("n")
     have = lambda c: [F.col(f"{a}.{c}") for a, df in (("n", new), ("o", old)) if c in df.columns]
     kev = F.coalesce(*have("kev_listed")) if strict_parity else F.greatest(*[F.coalesce(c, F.lit(False)) for c in have("kev_listed")], F.lit(False))

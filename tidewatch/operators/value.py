@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import micros, severity_rank, source_value_score
@@ -17,18 +17,19 @@ DAY = 86_400_000_000
 def unique_iocs(sightings: DataFrame, key: str = "source_id", days: int = 7) -> DataFrame:
     """Per source, indicators sighted there with no sighting elsewhere in the ``days`` before.
 
-    For each sighting the latest earlier time in *another* source decides. Per indicator and instant only the two latest
-    earlier sources can matter, so a running maximum over two sources replaces the range self-join; instants are unique per
-    indicator after the first aggregation and frequent indicators stay within one sort."""
-    s = sightings.where(f"{key} is not null").groupBy("ioc_type", "ioc_value", F.col(key).alias("src"), "created_at").agg(F.lit(1).alias("one"))
-    t = s.select("ioc_type", "ioc_value", "src", micros(F.col("created_at")).alias("at"))
-    # Buckets of the window's length: a sighting meets only those of its own bucket and the one before.
-    span = days * DAY
-    a = t.withColumn("bucket", F.floor(F.col("at") / span))
-    b = t.select("ioc_type", "ioc_value", F.col("src").alias("osrc"), F.col("at").alias("oat"), F.explode(F.array(F.floor(F.col("at") / span), F.floor(F.col("at") / span) + 1)).alias("bucket"))
-    # Per indicator, bucket and source one other sighting suffices only by time, so times are kept but copies are not.
-    seen = a.join(b.distinct(), ["ioc_type", "ioc_value", "bucket"]).where((F.col("osrc") != F.col("src")) & (F.col("oat") < F.col("at")) & (F.col("oat") > F.col("at") - span)).select("ioc_type", "ioc_value", "src", "at").distinct()
-    first = t.join(seen, ["ioc_type", "ioc_value", "src", "at"], "left_anti")
+    Per indicator the instants are ordered once. The latest earlier instant decides if another source (or more than one) was
+    seen then; else it was the source itself, and the instant before its unbroken run does. So two values carried along
+    replace a join of all pairs, and a hot indicator costs one sort."""
+    s = sightings.where(f"{key} is not null").select("ioc_type", "ioc_value", F.col(key).alias("src"), micros(F.col("created_at")).alias("at")).distinct()
+    instants = s.groupBy("ioc_type", "ioc_value", "at").agg(F.min("src").alias("low"), F.max("src").alias("high"), F.collect_set("src").alias("srcs"))
+    alone = F.when(F.col("low") == F.col("high"), F.col("low"))  # null: more than one source
+    w = Window.partitionBy("ioc_type", "ioc_value").orderBy("at")
+    x = instants.withColumn("alone", alone).withColumn("last_at", F.lag("at").over(w)).withColumn("last_alone", F.lag("alone").over(w))
+    starts = F.col("last_at").isNotNull() & (F.col("alone").isNull() | F.col("last_alone").isNull() | (F.col("alone") != F.col("last_alone")))
+    x = x.withColumn("before_run", F.last(F.when(starts, F.col("last_at")), ignorenulls=True).over(w))
+    x = x.withColumn("before_last_run", F.lag("before_run").over(w)).select("ioc_value", "at", "last_at", "last_alone", "before_last_run", F.explode("srcs").alias("src"))
+    other = F.when(F.col("last_alone") == F.col("src"), F.col("before_last_run")).otherwise(F.col("last_at"))
+    first = x.where(other.isNull() | (other <= F.col("at") - days * DAY))
     return first.groupBy("src").agg(F.countDistinct("ioc_value").alias("unique_iocs"))
 
 

@@ -495,7 +495,7 @@ def exploit_semi(spark, d):
 def upsert_vulnerabilities(spark, d):
     v = vulnerabilities(spark, d)
     new = v.select("cve_id", F.lit(None).cast("double").alias("epss_score"), F.lit(5.0).alias("cvss_v31_score"), F.lit(False).alias("kev_listed")).where("cve_id like '%1'")
-    return up.upsert_vulnerabilities(v.select("cve_id", "epss_score", "cvss_v31_score", "kev_listed"), new)
+    return up.upsert_vulnerabilities(v.select("cve_id", "epss_score", "cvss_v31_score", "kev_listed"), new, strict_parity=False)
 
 
 # --- Text -----------------------------------------------------------------------------------------------------------------------
@@ -652,11 +652,8 @@ def stratified_sample(spark, d):
 @query("spending", """SELECT source_id AS client, epoch_us(collected_at) AS at, round(sum(tokens / 1e6::DOUBLE * 2.0::DOUBLE) OVER (PARTITION BY source_id, strftime(make_timestamp(epoch_us(collected_at)), '%Y-%m') ORDER BY collected_at, id ROWS UNBOUNDED PRECEDING), 6) AS spent
 FROM (SELECT id, source_id, collected_at, floor(length(content) / 4) + 50 + 256 AS tokens FROM raw_content WHERE content IS NOT NULL)""")
 def spending(spark, d):
-    x = table(spark, d, "raw_content").where("content is not null").select(F.col("source_id").alias("client"), F.struct("collected_at", "id").alias("k"), F.col("collected_at").alias("at"), sc.token_estimate(F.length("content")).alias("tokens"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("client", F.trunc("at", "month")).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    return x.select("client", us("at"), rounded(F.sum(sc.token_cost(F.col("tokens"), F.lit(2.0))).over(w), "spent"))
+    x = table(spark, d, "raw_content").where("content is not null").select(F.col("source_id").alias("client"), "id", F.col("collected_at").alias("at"), sc.token_estimate(F.length("content")).alias("tokens"))
+    return st.spending(x, 1.0, 2.0, ("id",)).select("client", us("at"), rounded(F.col("spent"), "spent"))
 
 
 @query("token_bucket")
@@ -677,3 +674,4 @@ def pricing_summary(spark, d):
 
 
 from tidewatch.plans import registry_more  # noqa: E402, F401
+from tidewatch.plans import registry_fixtures  # noqa: E402, F401

@@ -140,12 +140,6 @@ def channel_configs(spark, d):
     return feeds.channel_configs(table(spark, d, "sources"), spark.createDataFrame([], "identifier string")).select("key", "configured")
 
 
-@query("noise_flags", "SELECT id, coalesce(trim(content), '') = '' AS is_noise FROM raw_content WHERE content IS NULL OR regexp_matches(content, '^[ ]*$')")
-def noise_flags(spark, d):
-    x = table(spark, d, "raw_content").where("content is null or content rlike '^[ ]*$'")
-    return up.flag_noise(x, tx.junk_reason(F.col("content"))).select("id", "is_noise")
-
-
 @query("noise_flags_whole")
 def noise_flags_whole(spark, d):
     """All rows; the SQL of noise_flags covers contents that are null or made of spaces."""
@@ -237,17 +231,11 @@ def worksheet(spark, d):
     return ds.worksheet(relabel, r).select("id", "content")
 
 
-@query("char_grams", "SELECT id, len(g) AS grams, len(list_distinct(g)) AS different FROM (SELECT id, flatten([list_transform(range(1, greatest(1, length(x) - n + 2)), lambda i: x[i : i + n - 1]) for n in [2, 3]]) AS g FROM (SELECT id, lower(substr(text, 1, 40)) AS x FROM stage1))")
+@query("char_grams", "SELECT id, len(g) AS grams, len(list_distinct(g)) AS different FROM (SELECT id, flatten([list_transform(range(1, greatest(1, length(x) - n + 2)), lambda i: substr(x, i, n)) for n in [2, 3, 4, 5]]) AS g FROM (SELECT id, lower(coalesce(text, '')) AS x FROM stage1))")
 def char_grams(spark, d):
-    g = ds.char_grams(F.substring("text", 1, 40), 2, 3)
-    return table(spark, d, "stage1").select("id", F.size(g).cast("bigint").alias("grams"), F.size(F.array_distinct(g)).cast("bigint").alias("different"))
-
-
-@query("char_grams_whole")
-def char_grams_whole(spark, d):
-    """Whole texts and the sizes that train_gate uses; the SQL of char_grams covers prefixes and two sizes only."""
-    g = ds.char_grams(F.col("text"))
-    return table(spark, d, "stage1").select("id", F.size(g).cast("bigint").alias("grams"), F.size(F.array_distinct(g)).cast("bigint").alias("different"))
+    grams = F.array(ds.char_grams(F.col("text")))
+    x = table(spark, d, "stage1").select("id", F.element_at(F.transform(grams, lambda g: F.struct(F.size(g).cast("bigint").alias("grams"), F.size(F.array_distinct(g)).cast("bigint").alias("different"))), 1).alias("x"))
+    return x.select("id", "x.*")
 
 
 @query("poisoned", "SELECT raw_content_id AS id, count(*) AS failures FROM ioc_sightings GROUP BY 1 HAVING count(*) >= 5")

@@ -26,10 +26,9 @@ def fan_in(streams: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), streams)
 
 
-def fresh(findings: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Each content once within the watermark; the archive decides beyond it."""
-    hashed = findings.withColumn("content_hash", F.sha2("content", 256))
-    return hashed.withWatermark("collected_at", watermark).dropDuplicatesWithinWatermark(["content_hash"])
+def hashed(findings: DataFrame) -> DataFrame:
+    """Findings with the hash of their content. No watermark: a late row is as good as any, the archive decides what is new."""
+    return findings.withColumn("content_hash", F.sha2("content", 256))
 
 
 def enriched(batch: DataFrame, rules: list[Rule], classify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -49,27 +48,33 @@ class Ingest:
 
     A batch that is run again after a failure overwrites its own folder, so nothing is archived twice."""
 
-    def __init__(self, archive: str, alerts: str, rules: list[Rule], classify=None):
-        self.archive, self.alerts, self.rules, self.classify = archive, alerts, rules, classify
-
-    def known(self, spark: SparkSession, schema, batch_id: int) -> DataFrame:
-        try:
-            return spark.read.parquet(self.archive).where(F.col("batch_id") != batch_id)
-        except Exception:  # nothing archived yet
-            return spark.createDataFrame([], schema)
-
+    def __init__(self, archive: str, alerts: str, rules: list[Rule], classify=None, extract=None, summarize=None, iocs: str | None = None):
+        """``extract`` (records -> record_id, type, value, context) fills ``iocs``; ``summarize`` adds the summary."""
+        self.archive, self.alerts, self.rules, self.classify, self.extract, self.summarize, self.iocs = archive, alerts, rules, classify, extract, summarize, iocs
+
+    def known(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """Hashes of what other batches archived. Only a missing folder means none; any other fault ends the batch."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.archive)
+        if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+            return spark.createDataFrame([], "content_hash string")
+        done = spark.read.schema("content_hash string, batch_id bigint").parquet(self.archive)
+        return done.where(F.col("batch_id") != batch_id).select("content_hash")
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = self.known(spark, batch.schema, batch_id).select("content_hash")
-        new = insert_ignore(old, batch, ["content_hash"], ["collected_at", "id"])
+        new = insert_ignore(self.known(spark, batch_id), batch, ["content_hash"], ["collected_at", "id"])
         out = enriched(new, self.rules, self.classify)
+        if self.summarize:
+            out = self.summarize(out)
         at = f"{self.archive}/batch_id={batch_id}"
         out.write.mode("overwrite").parquet(at)
-        spark.read.schema(out.schema).parquet(at).where("alert").write.mode("overwrite").parquet(f"{self.alerts}/batch_id={batch_id}")
+        kept = spark.read.schema(out.schema).parquet(at)
+        kept.where("alert").write.mode("overwrite").parquet(f"{self.alerts}/batch_id={batch_id}")
+        if self.extract and self.iocs:
+            self.extract(kept).write.mode("overwrite").parquet(f"{self.iocs}/batch_id={batch_id}")
 
 
 def run_ingest(findings: DataFrame, sink: Ingest, checkpoint: str):
-    return fresh(findings).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return hashed(findings).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def metrics(findings: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -120,11 +125,16 @@ def token_bucket(requests: DataFrame, per_minute: float, per_day: int = 0) -> Da
     return requests.select("client", "at", "tokens").groupBy("client").applyInPandas(simulate, "client string, at double, tokens double, granted_at double")
 
 
-def spending(usage: DataFrame, budget: float, rate_per_million: float) -> DataFrame:
-    """(client, at, tokens) -> running cost of the month and whether the budget still holds."""
-    x = usage.withColumn("month", F.trunc("at", "month")).withColumn("cost", F.col("tokens") / 1e6 * rate_per_million)
-    w = Window.partitionBy("client", "month").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return x.withColumn("spent", F.sum("cost").over(w)).withColumn("within_budget", F.col("spent") <= budget)
+def spending(usage: DataFrame, budget: float, rate_per_million: float, tie: tuple[str, ...] = ()) -> DataFrame:
+    """(client, at, tokens) -> running cost of the month and whether the budget still holds. Rows of one instant are ordered by
+    ``tie``. Days are summed first, so a busy client is sorted day by day."""
+    x = usage.withColumns({"month": F.trunc("at", "month"), "_day": F.to_date("at"), "cost": F.col("tokens") / 1e6 * rate_per_million})
+    days = x.groupBy(F.col("client").alias("_c"), F.col("month").alias("_m"), "_day").agg(F.sum("cost").alias("_cost"))
+    w = Window.partitionBy("_c", "_m").orderBy("_day")
+    days = days.select("_c", F.col("_day").alias("_d"), (F.sum("_cost").over(w) - F.col("_cost")).alias("_before"))
+    x = x.join(days, F.col("client").eqNullSafe(F.col("_c")) & F.col("_day").eqNullSafe(F.col("_d")))
+    w = Window.partitionBy("client", "_day").orderBy("at", *tie).rowsBetween(Window.unboundedPreceding, 0)
+    return x.withColumn("spent", F.col("_before") + F.sum("cost").over(w)).withColumn("within_budget", F.col("spent") <= budget).drop("_c", "_d", "_day", "_before")
 
 
 def due(last_success, as_of, every_seconds: int) -> bool:
