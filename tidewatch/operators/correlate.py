@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import correlation_confidence, micros
 from tidewatch.functions.text import garbage_handle
+from tidewatch.operators.skew import dealt
 from tidewatch.schemas import cluster_id, ioc_id, source_entity_id
 
 #: Names that alone do not make a campaign (fixed values).
@@ -50,17 +51,17 @@ def temporal_overlap(sightings: DataFrame, raw: DataFrame, as_of: Column | None,
     collected within the window before it take part.
 
     The join key holds the time bucket of one window; a record joins its own and the next bucket, so a frequent indicator
-    pairs records that are near in time and not all of them."""
+    pairs records that are near in time and not all of them; what is still frequent within a bucket is dealt into parts."""
     span = window_hours * 3600
     r = first_party(raw)
     if as_of is not None:
         r = r.where(micros(F.col("collected_at")) > micros(as_of) - F.lit(span * 1_000_000))
     r = r.select(F.col("id").alias("raw_content_id"), F.col("source_id").alias("sid"), F.col("source_name").alias("sname"), "collected_at")
     x = sightings.select("ioc_type", "ioc_value", "raw_content_id").distinct().join(r, "raw_content_id").withColumn("bucket", F.floor(F.unix_seconds("collected_at") / span))
-    a = x.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1, F.col("bucket") - 1))).alias("a")
-    b = x.alias("b")
+    b, a = dealt(x, x.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1, F.col("bucket") - 1))), ["ioc_type", "ioc_value", "bucket"], "raw_content_id")
+    a, b = a.alias("a"), b.alias("b")
     near = F.abs(micros(F.col("a.collected_at")) - micros(F.col("b.collected_at"))) <= F.lit(span * 1_000_000)
-    same = (F.col("a.ioc_type") == F.col("b.ioc_type")) & (F.col("a.ioc_value") == F.col("b.ioc_value")) & (F.col("a.bucket") == F.col("b.bucket"))
+    same = (F.col("a.ioc_type") == F.col("b.ioc_type")) & (F.col("a.ioc_value") == F.col("b.ioc_value")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.part") == F.col("b.part"))
     pairs = a.join(b, same & (F.col("a.sid") != F.col("b.sid")) & (F.col("a.raw_content_id") < F.col("b.raw_content_id")) & near)
     key = F.concat(F.col("a.ioc_type"), F.lit(":"), F.col("a.ioc_value"))
     return (
@@ -83,9 +84,10 @@ def entity_clusters(entities: DataFrame, edges: DataFrame, kind: str, least: int
     mine = edges.select("source_id", "target_id").distinct().join(e.where(F.col("type") == kind).select(F.col("id").alias("source_id"), "name"), "source_id")
     shared = e.select(F.col("id").alias("target_id"), F.col("name").alias("shared_name"))
     mine = mine.join(shared, "target_id")
-    a, b = mine.alias("a"), mine.alias("b")
+    a, b = dealt(mine, mine, ["target_id"], "source_id")
+    a, b = a.alias("a"), b.alias("b")
     return (
-        a.join(b, (F.col("a.target_id") == F.col("b.target_id")) & (F.col("a.source_id") < F.col("b.source_id")))
+        a.join(b, (F.col("a.target_id") == F.col("b.target_id")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.source_id") < F.col("b.source_id")))
         .groupBy(F.col("a.source_id").alias("entity_a"), F.col("a.name").alias("name_a"), F.col("b.source_id").alias("entity_b"), F.col("b.name").alias("name_b"))
         .agg(F.sort_array(F.collect_set("a.target_id")).alias("shared_ids"), F.sort_array(F.collect_set("a.shared_name")).alias("shared_names"), F.countDistinct("a.target_id").alias("shared_count"))
         .where(F.col("shared_count") >= least)

@@ -38,6 +38,24 @@ def exclusion_reason(gold: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(g, "id", "left").withColumn("excluded", reason).drop("_gold")
 
 
+def credential_exits(relabel: DataFrame) -> DataFrame:
+    """Rows that were credential leaks and are no longer."""
+    return relabel.where((F.col("groq_category") == "credential_leak") & ~F.col("final_label").eqNullSafe("credential_leak"))
+
+
+def to_review(relabel: DataFrame) -> DataFrame:
+    return relabel.where((F.trim("needs_review") == "1") | (F.col("source") == "reclassified"))
+
+
+def downgrades(relabel: DataFrame) -> DataFrame:
+    return relabel.where(F.col("source") == "downgrade")
+
+
+def original_irrelevant(raw: DataFrame) -> DataFrame:
+    """Classified as irrelevant and no noise; an unset noise flag is none."""
+    return raw.where(F.col("classified") & (F.col("category") == "irrelevant") & ~F.coalesce("is_noise", F.lit(False)))
+
+
 def first_by_hash(rows: DataFrame) -> DataFrame:
     """The earliest row (time, id) of each content hash; rows without a hash are one group, as for an equal value.
 
@@ -206,6 +224,27 @@ def train_gate(df: DataFrame, target: float = 0.97, **size) -> tuple[object, flo
     return model, threshold, class_metrics(scored.where("split = 'test'").select(F.col("label").alias("y"), z.alias("z")))
 
 
+def train_classes(df: DataFrame, **size) -> tuple[object, DataFrame]:
+    """Stage 2: the category of relevant records, by multinomial regression over the same features. Returns the model and the
+    metrics of val and test, each over all languages (language null) and by language."""
+    x = balanced(checked(df).withColumn("chars", char_grams(F.col("text"))))
+    model = pipeline("logreg", **size).fit(x.where("split = 'train'"))
+    names = F.array(*[F.lit(n) for n in model.stages[-2].labels])
+    z = model.transform(x.where("split <> 'train'")).select("split", "language", F.col("label").alias("y"), F.element_at(names, F.col("prediction").cast("int") + 1).alias("z"))
+    whole = class_metrics(z, ["split"]).withColumn("language", F.lit(None).cast("string"))
+    return model, whole.unionByName(class_metrics(z, ["split", "language"]))
+
+
+def error_table(summary: list[dict]) -> str:
+    """Sheets of ``verdict_summary`` as a Markdown table."""
+    lines = ["| sheet | rows | adjudicated | errors | unsure | pending | error rate |", "|---|---|---|---|---|---|---|"]
+    for s in sorted(summary, key=lambda s: s["sheet"]):
+        rows = sum(s[k] for k in ("correct", "error", "unsure", "pending", "other"))
+        rate = "—" if s["error_rate"] is None else f"{s['error_rate']:.1%}"
+        lines.append(f"| {s['sheet']} | {rows} | {s['correct'] + s['error']} | {s['error']} | {s['unsure']} | {s['pending']} | {rate} |")
+    return "\n".join(lines)
+
+
 def write_outputs(rows: DataFrame, folder: str) -> None:
     """The training table (stage 1), its relevant part (stage 2) and the statistics, each as a folder that replaces the old one."""
     rows.write.mode("overwrite").parquet(f"{folder}/stage1")

@@ -127,6 +127,11 @@ def dossier(actor: str, entities: DataFrame, edges: DataFrame, raw: DataFrame, c
     return entities.where(F.col("id") == actor).select("id", F.coalesce(F.col("properties")["name"], F.col("id")).alias("name"), "type").join(lists, "id", "left").join(seen, "id").join(corr, "id").join(note, "id")
 
 
+def actor_counts(entities: DataFrame) -> DataFrame:
+    """Dismissed and active threat actors."""
+    return entities.where("type = 'threat_actor'").groupBy("dismissed").agg(F.count(F.lit(1)).alias("actors"))
+
+
 def active_actors(entities: DataFrame, edges: DataFrame, raw: DataFrame, since: datetime, fetch: int = 40, keep: int = 10) -> DataFrame:
     """The ``fetch`` newest actors, of which the first ``keep`` with recent records or neighbours stay."""
     actors = entities.where("type = 'threat_actor' and not dismissed").orderBy(F.desc("created_at"), "id").limit(fetch)

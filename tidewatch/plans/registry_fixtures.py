@@ -4,7 +4,7 @@ lists the rows that must come out, worked out from the rules by hand."""
 from __future__ import annotations
 
 import json
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from tidewatch.functions import plug as pl
 from tidewatch.functions import scalar as sc
 from tidewatch.functions import text as tx
 from tidewatch.functions import urls as ur
+from tidewatch.operators import correlate as co
 from tidewatch.operators import dataset as ds
 from tidewatch.operators import graph as gr
 from tidewatch.operators import upsert as up
@@ -22,6 +23,7 @@ from tidewatch.plans.registry import query
 from tidewatch.session import shared_path
 from tidewatch.sources import feeds
 from tidewatch.streaming import pipeline as st
+from tidewatch.tables import table
 
 _TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
 AT = datetime(2026, 7, 1, tzinfo=timezone.utc)
@@ -326,3 +328,90 @@ def matched_rules(spark, d):
     x = spark.createDataFrame([(c,) for c in ("leaked creds for example.com found here", "admin password=hunter2", "Example.COM pwd: x", "nothing", None)], "content string")
     m = tx.match(F.col("content"), rules)
     return x.select("content", m["matched"].alias("matched"), F.array_join(m["rules"], ",").alias("rules"), m["severity"].alias("severity"))
+
+
+_RELABEL = [("1", "credential_leak", "data_dump", "agree", "0"), ("2", "credential_leak", "credential_leak", "agree", " 1 "), ("3", "data_dump", "irrelevant", "downgrade", "0"), ("4", "data_dump", "credential_leak", "reclassified", "0"), ("5", "credential_leak", None, "downgrade", "")]
+
+
+@expect("relabel_selections", "selection string, id string", [("exits", "1"), ("exits", "5"), ("review", "2"), ("review", "4"), ("downgrades", "3"), ("downgrades", "5")])
+def relabel_selections(spark, d):
+    x = spark.createDataFrame(_RELABEL, "id string, groq_category string, final_label string, source string, needs_review string")
+    each = [f(x).select(F.lit(n).alias("selection"), "id") for n, f in (("exits", ds.credential_exits), ("review", ds.to_review), ("downgrades", ds.downgrades))]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query("original_irrelevant", "SELECT id FROM raw_content WHERE classified AND category = 'irrelevant' AND NOT coalesce(trim(content) = '', false)")
+def original_irrelevant(spark, d):
+    return ds.original_irrelevant(table(spark, d, "raw_content").withColumn("is_noise", F.trim("content") == "")).select("id")
+
+
+@query("actor_counts", "SELECT dismissed, count(*) AS actors FROM entities WHERE type = 'threat_actor' GROUP BY 1")
+def actor_counts(spark, d):
+    return gr.actor_counts(table(spark, d, "entities"))
+
+
+@expect("error_table_lines", "line string", [("| sheet | rows | adjudicated | errors | unsure | pending | error rate |",), ("|---|---|---|---|---|---|---|",), ("| a | 6 | 3 | 1 | 1 | 1 | 33.3% |",), ("| b | 1 | 0 | 0 | 0 | 1 | — |",)])
+def error_table_lines(spark, d):
+    sheet = spark.createDataFrame([("a", "ok"), ("a", "Correct "), ("a", "wrong"), ("a", "?"), ("a", None), ("a", "maybe"), ("b", "")], "sheet string, verdict string")
+    return spark.createDataFrame([(x,) for x in ds.error_table([r.asDict() for r in ds.verdict_summary(sheet).collect()]).split("\n")], "line string")
+
+
+@expect("sub_classify_vectors", "content string, category string, sub_category string", [("fresh combo", "credential_leak", "combo_list"), ("RDP here", "access_broker", "rdp_access"), ("fresh combo", "data_dump", None), ("plain", "credential_leak", None)])
+def sub_classify_vectors(spark, d):
+    x = spark.createDataFrame([("fresh combo", "credential_leak"), ("RDP here", "access_broker"), ("fresh combo", "data_dump"), ("plain", "credential_leak")], "content string, category string")
+    return pl.default_sub_classify(x)
+
+
+@expect("severity_step", "id string, severity string", [("a", "critical"), ("b", "info")])
+def severity_step(spark, d):
+    x = spark.createDataFrame([("a", "ransomware here"), ("b", "plain")], "id string, content string")
+    return pl.default_severity(x.withColumn("match", tx.match(F.col("content"), [tx.Rule("r", "keyword", ("ransomware",), "critical")]))).select("id", "severity")
+
+
+@expect("entity_step", "record_id string, source string, name string, type string, observed boolean, confidence string", [("a", "chan", "IntelBroker", "threat_actor", True, "high"), ("a", "chan", "CVE-2026-12345", "vulnerability", False, "medium"), ("b", "id-b", "CVE-2026-1111", "vulnerability", False, "medium")])
+def entity_step(spark, d):
+    x = spark.createDataFrame([("a", "chan", "id-a", "IntelBroker", "cve-2026-12345, CVE-2026-12345"), ("b", "", "id-b", "admin", "CVE-2026-1111"), ("c", None, "id-c", "feed_bot", None)], "id string, source_name string, source_id string, author string, content string")
+    return pl.default_entities(x)
+
+
+@expect("evaluate_step", "cluster_id string, decision string", [("a", "promote"), ("b", "defer"), ("c", "reject"), ("d", "defer")])
+def evaluate_step(spark, d):
+    x = spark.createDataFrame([("a", 3, 0.9), ("b", 1, 0.9), ("c", 5, 0.2), ("d", 5, 0.5)], "cluster_id string, signal_count int, confidence double")
+    return pl.default_evaluate(x).select("cluster_id", "decision")
+
+
+@expect("triage_step", "identifier string, verdict string", [("http://abc.onion/x", "investigate"), ("https://pastebin.com/a", "investigate"), ("https://a.test/x", None)])
+def triage_step(spark, d):
+    return pl.default_triage(spark.createDataFrame([(x,) for x in ("http://abc.onion/x", "https://pastebin.com/a", "https://a.test/x")], "identifier string"))
+
+
+by_rule("answered_iocs_vectors", [('[{"type":"ip","value":"1.2.3.5"}]', "ip=1.2.3.5"), ('{"iocs":[{"type":"domain","value":"a.su"},{"type":"ip","value":""}]}', "domain=a.su"), ('Here: {"indicators":[{"type":"url","value":"u"}]}', "url=u"), ("nothing", "")], lambda c: F.array_join(F.transform(pl.answered_iocs(c), lambda i: F.concat_ws("=", i["type"], i["value"])), ","))
+by_rule("answered_triage_vectors", [('[{"url":"a","decision":"trash"}]', "a=trash"), ('{"results":[{"url":"b","decision":"Investigate"},{"url":"c","decision":"maybe"}]}', "b=Investigate"), ("no json", "")], lambda c: F.array_join(F.transform(pl.answered_triage(c), lambda i: F.concat_ws("=", i["url"], i["decision"])), ","))
+
+
+@query("correlation_vectors", """SELECT t AS correlation_type, 'corr:' || t || ':' || sha256(k) AS cluster_id, c::DOUBLE AS confidence, s AS is_correlation FROM (VALUES ('shared_ioc', 'ip:91.92.93.94', 0.95, true),
+('handle_reuse', 'IntelBroker:_', 0.8, false), ('temporal_overlap', 'f1:f2', 0.7, false), ('campaign_cluster', 'entity:malware:x:entity:malware:y', 0.7, false)) v(t, k, c, s)""")
+def correlation_vectors(spark, d):
+    """One address in three sources; one author in two; two records of two sources with two indicators in common within the window; two
+    families with two targets in common, and two that only share a common tool."""
+    at = AT
+    raw = spark.createDataFrame([(f"f{i}", f"s{i}", f"n{i}", "first_party", "IntelBroker" if i in (1, 2) else "admin", None, at, True, "data_dump") for i in (1, 2, 3)], "id string, source_id string, source_name string, provenance string, author string, author_id string, collected_at timestamp, classified boolean, category string")
+    seen = spark.createDataFrame([("ip", "91.92.93.94", f"f{i}", f"s{i}", f"n{i}", at) for i in (1, 2, 3)] + [("domain", "evil.su", f"f{i}", "s1", "n1", at) for i in (1, 2)], "ioc_type string, ioc_value string, raw_content_id string, source_id string, source_name string, created_at timestamp")
+    entities = [(f"entity:malware:{x}", "malware", {"name": x}) for x in "xyzw"] + [("t1", "ip", {"name": "t1"}), ("t2", "ip", {"name": "t2"}), ("m1", "tool", {"name": "Mimikatz"}), ("m2", "tool", {"name": "mimikatz"})]
+    edges = [(f"entity:malware:{x}", t) for x in "xy" for t in ("t1", "t2")] + [(f"entity:malware:{x}", t) for x in "zw" for t in ("m1", "m2")]
+    got = co.cycle(seen, raw, spark.createDataFrame(entities, "id string, type string, properties map<string,string>"), spark.createDataFrame(edges, "source_id string, target_id string"), F.lit(at + timedelta(hours=1)))
+    return got.select("correlation_type", "cluster_id", F.round("confidence", 6).alias("confidence"), "is_correlation")
+
+
+def _labelled(spark):
+    base = {"data_dump": "selling fresh database dump", "malware_sample": "exploit loader for sale"}
+    names = sorted(base)
+    rows = [(str(i), f"{base[names[i % 2]]} {i}", names[i % 2], "latin", "train" if i < 40 else "val" if i < 50 else "test", str(i), AT) for i in range(60)]
+    return spark.createDataFrame(rows, "id string, text string, label string, language string, split string, content_hash string, collected_at timestamp")
+
+
+@expect("train_classes", "split string, language string, class string, f1 double, support bigint", [(s, g, c, 1.0, 5) for s in ("val", "test") for g in (None, "latin") for c in ("data_dump", "malware_sample")])
+def train_classes(spark, d):
+    """Two classes that their words tell apart: held-out metrics are perfect."""
+    _, metrics = ds.train_classes(_labelled(spark), char_features=2000, word_features=500)
+    return metrics.select("split", "language", "class", "f1", "support")
