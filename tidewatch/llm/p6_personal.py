@@ -157,8 +157,16 @@ CAPPED = re.compile(rf"(?<![\w@.#/_-]){CAPWORD},? {CAPWORD}(?: {CAPWORD})?(?![\w
 #: Characters on either side of other personal data within which a name counts as said together with it.
 REACH = 48
 SEPARATORS = frozenset(";|,\t\n:-–→")
-#: The same words anywhere, with the space after them.
-NAMING_HERE = re.compile("(?:" + NAMING.pattern.replace("$", "") + "|" + NAMING_WEAK.pattern.replace("$", "") + r")(?<=\W)", re.IGNORECASE)
+#: Last words, and beginnings of last words, of ``NAMING`` and ``NAMING_WEAK``: a name is looked for only behind one of these.
+NAMING_LAST = frozenset(
+    "name names named of is called call phone contact contacted contacting for to with by mr mrs ms miss dr prof attn dear employee manager director accountant colleague customer client patient doctor lawyer teacher show shows list lists mention mentions met "
+    "имя имени зовут звать это есть значится принадлежит ім'я ім’я імені звати пан пана пану пані належить є це вказано "
+    "namen names heißt herr herrn frau kundin kunde auf an für von nach steht ist gehört "
+    "nom de nommé nommée appelez appel appelée demandez demander m mme mlle monsieur madame docteur titulaire à employé employée destinataire contactez contacter pour par montre mentionne est "
+    "nombre llamado llamada llama por señor señora sr sra don doña cliente titular destinatario destinataria empleado empleada a con figura muestra para es pertenece "
+    "نام سراغ به آقای خانم دکتر مشتری کارمند".split()
+)
+NAMING_BEGIN = ("фамили", "спроси", "господин", "госпож", "г-н", "г-ж", "граждан", "клиент", "сотрудни", "директор", "бухгалтер", "владел", "получател", "врач", "указан", "прізвищ", "запита", "громадян", "клієнт", "власник", "отримувач", "співробітни", "inhaber", "mitarbeiter", "ansprechpartner")
 NAME_HERE = re.compile(rf"({WORD},? {WORD}(?: {WORD})?)(?![@_=])")
 PERSIAN_NAME = re.compile(r"(?:به نام|فایل نام|سراغ|متعلق به)\s+(\w{2,} \w{3,})\s+(?:به|با|را|از|است)")
 LIST_FIELD = re.compile(rf"(?:^|(?<=[;|\t])|(?<= , ))[ ]*({WORD},? {WORD}(?: {WORD})?)[ ]*(?=$|[;|\t]| , )", re.MULTILINE)
@@ -223,16 +231,13 @@ def fold(word: str) -> str:
 
 GIVEN_SET = frozenset(fold(w) for w in GIVEN)
 TOKEN = re.compile(WORD)
-SIMPLE = re.compile(rf"{LETTER}+")
 
 
-def given_pairs(text: str, low: str):
-    """(start, end) of a frequent given name beside another word, in either order and any case."""
-    if GIVEN_SET.isdisjoint(SIMPLE.findall(fold(text) if ACCENT.search(text) else low)):
-        return
-    words = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(text)]
+def given_pairs(text: str, words: list[tuple[int, int, str]]):
+    """(start, end) of a frequent given name beside another word, in either order and any case. ``words``: in lower case."""
+    accents = ACCENT.search(text) is not None
     for i, (start, end, w) in enumerate(words):
-        if fold(w) not in GIVEN_SET:
+        if w not in GIVEN_SET and not (accents and fold(w) in GIVEN_SET):
             continue
         if (start and text[start - 1] in "@_./") or (end < len(text) and text[end] in "@_.=" and text[end : end + 2].strip() != text[end : end + 1]):
             continue
@@ -354,7 +359,8 @@ def _name_spans(text: str, low: str, found: list[list]) -> None:
         if best[0] >= 0.2:
             found.append([best[2], best[3], "name", best[0]])
 
-    for s, e in given_pairs(text, low):
+    words = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(low)]
+    for s, e in given_pairs(text, words):
         judge(s, e)
     searched = set()
     for lo, hi in near:
@@ -370,10 +376,14 @@ def _name_spans(text: str, low: str, found: list[list]) -> None:
             value = m.group(1).strip()
             if (2 <= len(TOKEN.findall(value)) <= 4 and not re.search(r"[\d@/_]", value)) or re.fullmatch(r"[一-鿿]{2,4}", value):
                 found.append([m.start(1), m.start(1) + len(m.group(1).rstrip()), "name", 0.7])
-    for m in NAMING_HERE.finditer(text):
-        here = NAME_HERE.match(text, m.end())
-        if here:
-            judge(here.start(), here.end(), True)
+    for i in range(len(words) - 2):
+        w = words[i][2]
+        if w in NAMING_LAST or w.startswith(NAMING_BEGIN):
+            first, second = (text[s:e] for s, e, _ in words[i + 1 : i + 3])
+            if first[0].isupper() or (first[0].lower() == first[0].upper() and (near or fold(first) in GIVEN_SET)) or (first[0].islower() and (SURNAME_END.search(first) or SURNAME_END.search(second))):
+                here = NAME_HERE.match(text, words[i + 1][0])
+                if here:
+                    judge(here.start(), here.end(), True)
     for m in INITIALS.finditer(text):
         family = m.group(1) or m.group(2)
         before = text[max(0, m.start() - 40) : m.start()]
