@@ -16,9 +16,11 @@ from tidewatch.functions import urls as ur
 from tidewatch.operators import correlate as co
 from tidewatch.operators import dataset as ds
 from tidewatch.operators import graph as gr
+from tidewatch.operators import reads as rd
 from tidewatch.operators import upsert as up
 from tidewatch.operators import value as va
-from tidewatch.plans import nlsql
+from tidewatch.plans import api, nlsql
+from tidewatch.plans import config as cf
 from tidewatch.plans.registry import query
 from tidewatch.session import shared_path
 from tidewatch.sources import feeds
@@ -415,3 +417,62 @@ def train_classes(spark, d):
     """Two classes that their words tell apart: held-out metrics are perfect."""
     _, metrics = ds.train_classes(_labelled(spark), char_features=2000, word_features=500)
     return metrics.select("split", "language", "class", "f1", "support")
+
+
+# --- Configuration and routes ---
+_GOOD = {"llm": {"provider": "p", "model": "m"}, "sources": {"web": {"enabled": True, "feeds": [{"type": "rss"}]}}, "matching": {"rules": [{"name": "a", "type": "keyword", "patterns": ["x"]}]}}
+_BAD = {"llm": {"provider": "p"}, "sources": {"web": {"enabled": True, "feeds": [{"type": "rss"}, {"type": "gopher"}]}}, "matching": {"rules": [{"type": "glob", "patterns": []}]}}
+by_function(
+    "config_vectors",
+    [(json.dumps(_GOOD), ""), ("{}", "llm.provider is missing; llm.model is missing; no source is enabled"), (json.dumps(_BAD), "llm.model is missing; sources.web.feeds[1].type is unknown: 'gopher'; matching.rules[0].name is missing; matching.rules[0].type is unknown: 'glob'; matching.rules[0].patterns is empty")],
+    lambda x: "; ".join(cf.violations(json.loads(x))),
+)
+by_function("config_substitution", [("key: ${A}", "key: 1"), ("${MISSING}x", "x"), ("$A and ${A}${A}", "$A and 11")], lambda x: cf.substituted(x, {"A": "1"}))
+
+
+@query("archive_search", "SELECT id FROM raw_content WHERE content ILIKE '%vpn%' AND category = 'access_broker' AND collected_at >= TIMESTAMPTZ '2026-06-01 00:00:00+00'")
+def archive_search(spark, d):
+    return rd.archive_search(table(spark, d, "raw_content"), "vpn", "access_broker", [], datetime(2026, 6, 1, tzinfo=timezone.utc)).select("id")
+
+
+@query("route_search", "SELECT id, left(content, 80) AS content FROM raw_content WHERE content ILIKE '%a%' AND author ILIKE '%a%' ORDER BY collected_at DESC, id LIMIT 30 OFFSET 10")
+def route_search(spark, d):
+    """A page is the feature here: the route's limit and offset."""
+    return api.ROUTES["search"]({"raw_content": table(spark, d, "raw_content")}, {"q": "a", "author": "a", "limit": "30", "offset": "10", "since": "soon"}, AT).select("id", "content")
+
+
+@query("route_subcategories", "SELECT category, sub_category, count(*) AS count FROM raw_content WHERE category IS NOT NULL AND sub_category IS NOT NULL AND sub_category <> '' GROUP BY 1, 2")
+def route_subcategories(spark, d):
+    return api.ROUTES["subcategories"]({"raw_content": table(spark, d, "raw_content")}, {}, AT).select("category", "sub_category", "count")
+
+
+@query("route_timeline", "SELECT epoch_us(time_bucket(INTERVAL '1 day', collected_at, TIMESTAMPTZ '2000-01-01 00:00:00+00')) AS bucket, count(*) AS count FROM raw_content WHERE collected_at >= TIMESTAMPTZ '2026-06-01 00:00:00+00' GROUP BY 1")
+def route_timeline(spark, d):
+    x = api.ROUTES["timeline"]({"raw_content": table(spark, d, "raw_content")}, {"interval": "1 day", "since": "30d"}, AT)
+    return x.select(F.unix_micros("bucket").alias("bucket"), F.col("count"))
+
+
+@query("route_source_types", "SELECT key, count(s.id) AS count FROM (VALUES ('rss'), ('telegram'), ('web'), ('other')) v(key) LEFT JOIN (SELECT id, CASE WHEN type = 'rss' THEN 'rss' WHEN type LIKE 'telegram%' THEN 'telegram' WHEN type = 'web' THEN 'web' ELSE 'other' END AS k FROM sources) s ON s.k = v.key GROUP BY 1")
+def route_source_types(spark, d):
+    x = api.ROUTES["source_type_counts"]({"sources": table(spark, d, "sources")}, {}, AT)
+    return x.select(F.col(x.columns[0]).alias("key"), F.col(x.columns[1]).alias("count"))
+
+
+@expect("route_decisions", "cluster_id string, decision string", [("c2", "promote"), ("c1", "promote")])
+def route_decisions(spark, d):
+    x = spark.createDataFrame([("c1", "promote", AT - timedelta(2)), ("c2", "promote", AT), ("c3", "reject", AT)], "cluster_id string, decision string, created_at timestamp")
+    return api.ROUTES["decisions"]({"decisions": x}, {"decision": "promote"}, AT).select("cluster_id", "decision")
+
+
+@expect("route_vulnerability", "cve_id string", [("CVE-2026-2",)])
+def route_vulnerability(spark, d):
+    return api.ROUTES["vulnerability"]({"vulnerabilities": spark.createDataFrame([("CVE-2026-1",), ("CVE-2026-2",)], "cve_id string")}, {"id": "CVE-2026-2"}, AT)
+
+
+@expect("source_actions", "identifier string, status string, error_count int", [("a", "approved", 0), ("b", "paused", 5), ("c", "active", 1), ("d", "rejected", 0)])
+def source_actions(spark, d):
+    """Approve, reject, pause, activate, remove, collect and errors as a fold over events."""
+    s = spark.createDataFrame([(i, "discovered", 3 if i == "b" else 0, None) for i in "abcde"], "identifier string, status string, error_count int, last_collected timestamp")
+    t = lambda h: AT + timedelta(hours=h)
+    events = [("a", "approve", t(1)), ("b", "error", t(1)), ("b", "error", t(2)), ("b", "pause", t(3)), ("c", "error", t(1)), ("c", "collect", t(2)), ("c", "error", t(3)), ("c", "activate", t(4)), ("d", "reject", t(1)), ("e", "remove", t(1))]
+    return up.source_states(s, spark.createDataFrame(events, "identifier string, action string, at timestamp")).select("identifier", "status", F.col("error_count").cast("int").alias("error_count"))
