@@ -662,7 +662,10 @@ def token_bucket(spark, d):
     return st.token_bucket(x, 1500, 50_000)
 
 
-@query("ingest_metrics")
+@query("ingest_metrics", f"""WITH {RESCUE.replace("FROM raw_content", "FROM findings")},
+j AS (SELECT id, (length(regexp_replace(c, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) < 10 OR regexp_matches(c, '^@?[A-Za-z0-9_]{{3,32}}$')) AND NOT rescued AS junk FROM r),
+h AS (SELECT id, source, contains(l, 'ransomware') OR contains(l, 'locker') OR contains(l, 'vpn') OR contains(l, 'доступ') OR regexp_matches(o, 'CVE-\\d{{4}}-\\d{{4,}}') AS hit FROM (SELECT id, source, lower(coalesce(content, '')) AS l, coalesce(content, '') AS o FROM findings))
+SELECT source, count(*) AS collected, count(*) FILTER (hit) AS matched, count(*) FILTER (NOT hit) AS dropped, count(*) FILTER (junk) AS junk FROM h JOIN j USING (id) GROUP BY 1""")
 def ingest_metrics(spark, d):
     return st.metrics(table(spark, d, "findings"), RULES)
 

@@ -172,7 +172,12 @@ def content_hash(spark, d):
     return table(spark, d, "raw_content").where("content is not null").select("id", F.sha2("content", 256).alias("hash"), (F.lower("content_hash") == F.sha2("content", 256)).alias("same"))
 
 
-@query("default_classify")
+_CLASSIFIED = r"""SELECT id, CASE WHEN regexp_matches(c, '(?i)\bCVE-\d{4}-\d{4,}|exploit') THEN 'vulnerability' WHEN regexp_matches(c, '(?i:password|combo|credential)|пароль|учётк|логин') THEN 'credential_leak'
+WHEN regexp_matches(c, '(?i:trojan|loader|malware|botnet)|троян|загрузчик') THEN 'malware_sample' WHEN regexp_matches(c, '(?i:\bRDP\b|\bVPN\b|shell access)|доступ') THEN 'access_broker'
+WHEN regexp_matches(c, '(?i:database|dump|leak)|слив|выгрузк') THEN 'data_dump' ELSE 'threat_actor_comms' END AS category FROM (SELECT id, coalesce(content, '') AS c FROM raw_content)"""
+
+
+@query("default_classify", f"SELECT id, category, 'info' AS severity, array_to_string(list_filter([category, CASE category {_TAGS} END, 'needs_review'], lambda x: x IS NOT NULL), ',') AS tags, 'unknown' AS provenance FROM ({_CLASSIFIED})")
 def default_classify(spark, d):
     return plug.post_process(plug.default_classify(table(spark, d, "raw_content").select("id", "content"))).select("id", "category", "severity", joined("tags"), "provenance")
 
