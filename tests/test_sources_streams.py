@@ -1,5 +1,8 @@
 import gzip
 import json
+import random
+from concurrent.futures import ThreadPoolExecutor
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +72,29 @@ def test_token_bucket(spark):
     assert sorted(r.granted_at for r in capped.collect()) == [0.0, 86400.0]
 
 
+def test_token_bucket_of_todays_seconds(spark):
+    """Waits of fractions of a second at times where a double has steps of 2e-7 seconds, against exact fractions."""
+    rnd = random.Random(5)
+    rows = sorted((1_782_777_600.0 + round(rnd.uniform(0, 2 * 86400), 6), float(rnd.randrange(306, 640))) for _ in range(600))
+    want, rate, level, last, now, used, day = [], Fraction(1500, 60), Fraction(1500), Fraction(rows[0][0]), Fraction(0), 0, 0
+    for at, n in rows:
+        now = max(now, Fraction(at))
+        if now // 86400 == day and used + n > 50_000:
+            now = Fraction((day + 1) * 86400)
+        now = max(now, last + (n - level) / rate)
+        used = int(n) + (used if now // 86400 == day else 0)
+        level, last, day = min(Fraction(1500), level + (now - last) * rate) - int(n), now, now // 86400
+        want.append(float(now))
+    df = st.token_bucket(spark.createDataFrame([("a", *r) for r in rows], "client string, at double, tokens double"), 1500, 50_000)
+    with ThreadPoolExecutor(1) as pool:
+        job = pool.submit(df.collect)
+        try:
+            got = sorted(r.granted_at for r in job.result(90))
+        finally:
+            spark.sparkContext.cancelAllJobs()
+    assert len({int(x // 86400) for x in want}) > 3 and max(abs(a - b) for a, b in zip(got, want, strict=True)) < 1e-6
+
+
 def test_json_recovery(spark):
     texts = ['{"a":1}', 'text ```json\n{"a": [1]}\n``` more', 'so {"x": {"y": "}"}} end', "[1,2] tail", "none", None, '```json\n{"a":1} trailing', 'bad { then [3]']
     assert [plug.recovered_json(t) for t in texts] == ['{"a":1}', '{"a": [1]}', '{"x": {"y": "}"}}', "[1,2]", None, None, '{"a":1}', "[3]"]
